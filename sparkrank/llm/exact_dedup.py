@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrank.llm.shared import only
+from sparkrank.llm.shared import only, written
 from sparkrank.llm.tokens import MIX, WHITESPACE, mix
 
 #: A cut falls after a byte whose rolling hash ends in so many zero bits: chunks of 1 KB on average.
@@ -99,11 +99,16 @@ def dedup_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     listed = named.groupBy(*row).agg(
         F.first("copies").alias("copies"), F.count_if("real").alias("n_chunks"), F.count("chunk_id").alias("n_named"), F.sort_array(F.collect_list(F.when(F.col("real"), F.struct("place", "chunk_id")))).alias("recipe")
     )
-    recipe = F.when(F.col("n_chunks") == F.col("n_named"), F.transform("recipe", lambda x: x["chunk_id"]))
-    listed = listed.select(*row, "copies", "n_chunks", recipe.alias("recipe"))
+    # a recipe with an unnamed chunk is like no other: it gets a key of its own, so that these
+    # rows, most of a corpus, spread evenly instead of meeting under one null key
+    named_only = F.transform("recipe", lambda x: x["chunk_id"])
+    alone = F.array(F.struct(F.xxhash64(*row).alias("hash"), F.lit(-1).alias("length"), F.lit(0).alias("variant")))
+    unnamed = F.col("n_chunks") > F.col("n_named")
+    listed = listed.select(*row, "copies", "n_chunks", unnamed.alias("unnamed"), F.when(unnamed, alone).otherwise(named_only).alias("recipe"))
     best = F.min(F.struct((-F.col("size")).alias("shorter"), F.col("doc_id").isNull().alias("nameless"), "doc_id", "size"))
-    groups = listed.where("recipe is not null").groupBy("recipe").agg(F.sum("copies").alias("n"), best.alias("best"))
-    out = listed.join(groups, "recipe", "left").select(
+    groups = listed.where("not unnamed").groupBy("recipe").agg(F.sum("copies").alias("n"), F.count("*").alias("members"), best.alias("best")).where("members > 1")
+    # written down, the groups are a plain side of the join: a hot one can then be split
+    out = listed.join(written(groups, "groups"), "recipe", "left").select(
         "doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.coalesce("n", "copies").alias("group_size"),
         (F.col("n").isNull() | (F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.size") == F.col("size")))).alias("first"), "text_sha256", "n_chunks", "copies",
     )
