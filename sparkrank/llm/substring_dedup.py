@@ -30,7 +30,7 @@ from sparkrank.llm.shared import only, power_of_two, text_bytes
 from sparkrank.llm.tokens import BASES, Block, blocks, covered, mix, sorted_runs, window_hashes
 
 #: Windows that a task collects before it settles and sends them.
-FLUSH_WINDOWS = 2_000_000
+FLUSH_WINDOWS = 600_000
 #: Windows in a bucket, about.
 BUCKET_WINDOWS = 1 << 16
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text that a task handles at a time; a longer document makes a block of its own.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 #: Odd multipliers of the rolling hashes and of the finaliser.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
