@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkrank.llm.chat_format import format_chat, masked_text, read_chat
 from sparkrank.llm.exact_dedup import dedup_exact
+from sparkrank.llm.near_dedup import near_classes
 from sparkrank.llm.substring_dedup import remove_repeated_windows
+from sparkrank.llm.suffix_dedup import remove_repeated_bytes
 from sparkrank.llm.url_filter import filter_urls
 
 #: The rules of op9: verdict, host, path.
@@ -20,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -28,6 +34,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_exact(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -45,8 +55,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_near_dedup": op8_near_dedup,
     "op9_url_filters": op9_url_filters,
     "op10_chat_formatting": op10_chat_formatting,
 }
