@@ -1,7 +1,67 @@
-"""The corpus pipeline (stages follow)."""
-STAGES = []
+"""The corpus pipeline: five stages over documents, each an operator of sparkrank.llm.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to
+the shared folder and reads it again as the next one's docs, so a lost executor costs a stage's
+tasks and never the stages before. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkrank.llm.decontaminate import drop_contaminated
+from sparkrank.llm.exact_dedup import dedup_exact
+from sparkrank.llm.mixing import mix_sources
+from sparkrank.llm.near_dedup import near_classes
+from sparkrank.llm.queries import MIX_EPOCHS, MIX_SEED, MIX_SHARE, MIX_WEIGHTS, domain_of, table
+from sparkrank.llm.shared import shared_folder
+from sparkrank.llm.toxicity import fit, score_documents
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A document is rejected from this score on.
+TOXIC = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the model of toxic spans, fitted on the labelled ones, scores below TOXIC."""
+    rejected = score_documents(docs, fit(docs, table(spark, sf_dir, "labels"))).where(F.col("score") >= TOXIC).select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of equal texts."""
+    dropped = dedup_exact(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each class of near duplicates."""
+    dropped = near_classes(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that hold no benchmark item."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draw documents to the target weights: one row per document and epoch, with its text."""
+    chosen = mix_sources(docs, domain_of(), MIX_WEIGHTS, share=MIX_SHARE, max_epochs=MIX_EPOCHS, seed=MIX_SEED)
+    return docs.join(chosen.select("doc_id", "domain", "n_tokens", "epoch"), "doc_id").select(*COLUMNS, "domain", "n_tokens", "epoch")
+
+
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("decontamination", drop_leaks), ("mixing", mix)]
+
+#: SQL cannot express the first and the third stage; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = shared_folder(spark, f"pipeline-{name.replace(' ', '-')}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -41,7 +41,7 @@ BUCKET = 512
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _shingles(block: Block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def shingles(block: Block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and document of every shingle of a block, and where each document's begin."""
     words = block.word_hashes()
     at = block.windows(width)
@@ -55,7 +55,7 @@ def _shingles(block: Block, width: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return hashes, doc, np.searchsorted(doc, np.arange(len(block.texts) + 1))
 
 
-def _labelled(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+def labelled(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Hashes that tell apart the occurrences of a shingle in its document."""
     order = np.lexsort((hashes, doc))
     h, d = hashes[order], doc[order]
@@ -66,7 +66,7 @@ def _labelled(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def order_min_hashes(labelled: np.ndarray, bounds: np.ndarray, sketches: int, picks: int) -> np.ndarray:
+def order_min_hashes(keyed: np.ndarray, bounds: np.ndarray, sketches: int, picks: int) -> np.ndarray:
     """One row per document with its sketches; documents without shingles have rows of zeros."""
     some = np.flatnonzero(np.diff(bounds) > 0)
     out = np.zeros((len(bounds) - 1, sketches), dtype=np.uint64)
@@ -75,14 +75,14 @@ def order_min_hashes(labelled: np.ndarray, bounds: np.ndarray, sketches: int, pi
     starts, counts = bounds[some], np.diff(bounds)[some]
     owner = np.repeat(np.arange(len(some)), counts)
     for k in range(sketches):
-        keys = mix(labelled ^ mix(np.array([k + 1], dtype=np.uint64))[0])
+        keys = mix(keyed ^ mix(np.array([k + 1], dtype=np.uint64))[0])
         places, values = [], []
         for _ in range(picks):
             least = np.minimum.reduceat(keys, starts)
             hit = np.flatnonzero(keys == least[owner])
             first = hit[np.searchsorted(owner[hit], np.arange(len(some)))]
             places.append(np.where(least == _NONE, len(keys), first))
-            values.append(np.where(least == _NONE, np.uint64(0), labelled[first]))
+            values.append(np.where(least == _NONE, np.uint64(0), keyed[first]))
             keys[first] = _NONE
         order = np.argsort(np.array(places), axis=0, kind="stable")
         picked = np.take_along_axis(np.array(values), order, axis=0)
@@ -121,7 +121,7 @@ def _sketches(sketches: int, picks: int):
                 sequences = [_shingled(w) for w in part]
                 bounds = np.concatenate(([0], np.cumsum([len(s) for s in sequences])))
                 doc = np.repeat(np.arange(len(part)), np.diff(bounds))
-                found = order_min_hashes(_labelled(np.concatenate(sequences), doc), bounds, sketches, picks)
+                found = order_min_hashes(labelled(np.concatenate(sequences), doc), bounds, sketches, picks)
                 kept = [i for i in range(len(part)) if bounds[i + 1] > bounds[i]]
                 rep = np.repeat(np.array([own[i] for i in kept], dtype=np.int64), sketches)
                 yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(found[kept].view(np.int64).ravel())], names=["rep", "sketch"])
@@ -167,7 +167,7 @@ def aligned(a: list[int], b: list[int], threshold: float) -> bool:
 def link_bucket(ids: list[int], words: list[bytes], halves: list[int], threshold: float) -> list[tuple[int, int]]:
     """Links that span the components of a bucket's texts. halves: 0, 1 or -1; two texts of one half of a pair of blocks are another task's."""
     sequences = [_shingled(w) for w in words]
-    sets = [set(_labelled(s, np.zeros(len(s), dtype=np.int64)).tolist()) for s in sequences]
+    sets = [set(labelled(s, np.zeros(len(s), dtype=np.int64)).tolist()) for s in sequences]
     listed: list[list[int] | None] = [None] * len(ids)
     root = list(range(len(ids)))
 

@@ -12,6 +12,7 @@ from sparkrank.llm.mixing import mix_sources
 from sparkrank.llm.near_dedup import near_classes
 from sparkrank.llm.substring_dedup import remove_repeated_windows
 from sparkrank.llm.suffix_dedup import remove_repeated_bytes
+from sparkrank.llm.toxicity import fit, in_training_fold, score_documents
 from sparkrank.llm.url_filter import filter_urls
 from sparkrank.llm.warc import read_warc, write_warc
 
@@ -51,6 +52,12 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_bytes(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (~in_training_fold(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_windows(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -87,6 +94,7 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_warc": op2_warc,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
