@@ -3,23 +3,26 @@
 A suffix array of one shard only sees what repeats inside it, so equal strings have to meet in
 one shard first:
 
-1. Anchors. Of the 24-byte strings in every 100-byte window the one with the least hash is an
+1. Anchors. Of the 40-byte strings in every 100-byte window the one with the least hash is an
    anchor (and all that tie with it): equal windows have the same anchor at the same place, and
-   a text has one anchor in about 40 bytes. Spark deals the anchors' hashes to buckets; those
-   that stand in one place only go, and most of the corpus with them.
-2. Contexts. Around each remaining anchor a document yields the up to 176 bytes of all windows
-   that hold it, to a shard chosen by the anchor's hash. Equal contexts are first reduced to the
-   earliest within a task, so that a passage in a third of all documents is no large group.
-3. Shards. Each shard sorts the suffixes of its distinct contexts by induced sorting and
-   computes the permuted common prefixes; neighbours that share 100 bytes are one class of
-   windows, and all but the earliest of a class are removed. An anchor with very many distinct
-   contexts (a common line of under 100 bytes) is dealt anew: each of its windows goes to the
-   shard of its own hash, so such a group has no task to itself.
-4. Each document merges its removed windows.
+   a text has one anchor in about 31 bytes. Around it lies its context, the up to 160 bytes of
+   all windows that hold it. Only hashes of anchors and contexts, 12 bytes an anchor, are dealt
+   to buckets by Spark.
+2. Buckets. Of equal contexts the earliest stays and the others are removed whole - within a
+   task already, so a passage in a third of all documents adds one entry per task. Anchors
+   whose contexts are all equal need no more; those with several different contexts, as at the
+   edges of what is repeated, go on, one context of each kind.
+3. Shards. These contexts' bytes go to a shard by their anchor. A shard sorts their suffixes by
+   induced sorting and computes the permuted common prefixes; neighbours that share 100 bytes
+   are one class of windows, and all but the earliest of a class are removed.
+4. An anchor with very many different contexts (a common line of under 100 bytes) is dealt by
+   window instead: Spark groups its windows by a 128-bit digest. A bucket reads its entries as
+   a stream and passes those of such an anchor on, so no task holds a group of unbounded size.
+5. Each document merges its removed windows.
 
 A null text is empty. Texts under 100 bytes lose nothing. Matches never cross documents. Rows
-of one doc_id are taken as one document's parts only if they are equal rows: each is judged by
-the same removal list. Rows without a doc_id are left alone.
+that share a doc_id are read as one document's repeated row and share one removal list. Rows
+without a doc_id are left alone.
 """
 
 from __future__ import annotations
@@ -37,12 +40,12 @@ from sparkrank.llm.suffix_array import permuted_common_prefixes, sort_suffixes
 from sparkrank.llm.tokens import BASES, Block, blocks, byte_sums, mix, sorted_runs, span_hash, spread
 
 #: Bytes of an anchor.
-ANCHOR = 24
+ANCHOR = 40
 #: Anchors in a bucket and bytes of contexts in a shard, about.
 BUCKET_ANCHORS, SHARD_BYTES = 1 << 15, 1 << 21
-#: Anchors that a task collects before it sends them.
-FLUSH_ANCHORS = 500_000
-#: An anchor that stands in more places than these is dealt by window.
+#: Anchors that a task collects before it sends them, and that a bucket holds before it looks for crowded ones.
+FLUSH_ANCHORS, HELD_ANCHORS = 400_000, 4_000_000
+#: An anchor with more different contexts than these is dealt by window.
 MOST_CONTEXTS = 2_000
 
 
@@ -55,12 +58,12 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - (width - step)], out[width - step :]) if width > step else out
 
 
-def anchors(block: Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document index, position in the document and hash of each anchor of a block."""
+def anchors(block: Block, length: int) -> tuple[np.ndarray, ...]:
+    """Of each anchor of a block: document index, hash, and its context's hash, start in the document and size."""
     n = len(block.buf)
     long = block.ends - block.begins >= length
     if n < length or not long.any():
-        return (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
     starts = np.arange(n - ANCHOR + 1)
     hashes = mix(span_hash(byte_sums(block.buf), starts, starts + ANCHOR, BASES[0]))
     rank = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -73,7 +76,37 @@ def anchors(block: Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     most = _sliding(padded, width, np.maximum)  # most[i]: of the windows that hold the string at byte i
     at = np.flatnonzero((most[: len(rank)] == rank) & (rank > 0))
     doc = np.searchsorted(block.ends, at)
-    return doc, at - block.begins[doc], hashes[at]
+    begin, end = np.maximum(at + ANCHOR - length, block.begins[doc]), np.minimum(at + length, block.ends[doc])
+    contexts = mix(span_hash(byte_sums(block.buf, BASES[1]), begin, end, BASES[1]) + (end - begin).astype(np.uint64))
+    return doc, hashes[at], contexts, begin - block.begins[doc], end - begin
+
+
+def _shuffled(x: np.ndarray) -> bytes:
+    """Bytes of an array of integers, those of equal weight together, which compresses better."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _unshuffled(data: bytes, n: int, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(-1, n).T).view(kind).ravel()
+
+
+_PACKED = "bucket int, settled boolean, n int, base long, hashes binary, contexts binary, docs binary, starts binary, sizes binary"
+
+
+def _pack(bucket: int, settled: bool, own: np.ndarray, columns: tuple[np.ndarray, ...]) -> tuple:
+    docs, hashes, contexts, starts, sizes = (c[own] for c in columns)
+    base = int(docs.min())
+    named = (b"", b"") if settled else (hashes.astype(np.uint32).tobytes(), contexts.tobytes())
+    return bucket, settled, len(own), base, *named, _shuffled(docs - base), _shuffled(starts.astype(np.uint32)), sizes.astype(np.uint16).tobytes()
+
+
+def _first_of_each(hashes: np.ndarray, contexts: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries ordered by anchor, context and place, a place once; which of them open a new (anchor, context)."""
+    order = np.lexsort((starts, docs, contexts, hashes))
+    h, c, d, s = hashes[order], contexts[order], docs[order], starts[order]
+    fresh = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))[: len(h)]
+    again = np.concatenate(([False], ~fresh[1:] & (d[1:] == d[:-1]) & (s[1:] == s[:-1])))[: len(h)]
+    return order[~again], fresh[~again]
 
 
 def _packed_anchors(length: int, n_buckets: int):
@@ -81,36 +114,26 @@ def _packed_anchors(length: int, n_buckets: int):
         kept, size = [], 0
 
         def flush():
-            docs, places, hashes = (np.concatenate(x) for x in zip(*kept, strict=True))
-            # where a hash repeats in this block, one entry stands for all that are sure to be repeated
-            order = np.argsort(hashes, kind="stable")
-            starts = sorted_runs(hashes[order])
-            counts = np.diff(np.append(starts, len(order)))
-            first = order[starts]
-            sure = np.ones(len(order), dtype=bool)
-            sure[first] = False
-            repeated = np.zeros(len(order), dtype=bool)
-            repeated[first] = counts > 1
-            bucket = np.where(sure, mix(docs.astype(np.uint64)) % np.uint64(n_buckets), hashes % np.uint64(n_buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            runs = sorted_runs(bucket[order])
-            rows = []
-            for i, j in zip(runs.tolist(), [*runs[1:].tolist(), len(order)], strict=True):
-                own = order[i:j]
-                state = sure[own].astype(np.uint8) + 2 * repeated[own].astype(np.uint8)
-                base = int(docs[own].min())
-                delta = docs[own] - base
-                kind = np.min_scalar_type(int(delta.max()))
-                rows.append((int(bucket[own[0]]), base, kind.itemsize, hashes[own].tobytes(), delta.astype(kind).tobytes(), places[own].astype(np.uint32).tobytes(), state.tobytes()))
-            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            columns = tuple(np.concatenate(x) for x in zip(*kept, strict=True))
+            docs, hashes, contexts, starts, _ = columns
+            order, fresh = _first_of_each(hashes, contexts, docs, starts)
+            bucket = np.where(fresh, hashes[order] >> np.uint64(32), mix(docs[order].astype(np.uint64))) % np.uint64(n_buckets)
+            bucket = bucket.astype(np.int64) * 2 + ~fresh
+            by = np.argsort(bucket, kind="stable")
+            order, bucket = order[by], bucket[by]
+            runs = sorted_runs(bucket)
+            rows = [_pack(int(bucket[i]) // 2, bool(bucket[i] % 2), order[i:j], columns) for i, j in zip(runs.tolist(), np.append(runs[1:], len(order)).tolist(), strict=True)]
+            kinds = [pa.int32(), pa.bool_(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
+            names = ["bucket", "settled", "n", "base", "hashes", "contexts", "docs", "starts", "sizes"]
             for i in range(0, len(rows), 4096):
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows[i : i + 4096], strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=["bucket", "base", "width", "hashes", "docs", "places", "state"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 4096], strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
             for ids, texts in blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                doc, place, hashes = anchors(Block(texts), length)
-                kept.append((np.array(ids, dtype=np.int64)[doc], place, hashes))
+                doc, *rest = anchors(Block(texts), length)
+                if not len(doc):
+                    continue
+                kept.append((np.array(ids, dtype=np.int64)[doc], *rest))
                 size += len(doc)
                 if size >= FLUSH_ANCHORS:
                     yield from flush()
@@ -121,55 +144,100 @@ def _packed_anchors(length: int, n_buckets: int):
     return run
 
 
-def _repeated_anchors(group: pa.Table) -> pa.Table:
-    """Of one bucket: each document's anchors whose hash stands in more than one place."""
-    columns = [group.column(c).to_pylist() for c in ("base", "width", "hashes", "docs", "places", "state")]
-    docs = np.concatenate([b + np.frombuffer(d, dtype=f"u{w}").astype(np.int64) for b, w, d in zip(columns[0], columns[1], columns[3], strict=True)])
-    hashes, places, state = (np.concatenate([np.frombuffer(x, dtype=t) for x in columns[i]]) for i, t in ((2, np.uint64), (4, np.uint32), (5, np.uint8)))
-    sure = state == 1
-    order = np.flatnonzero(~sure)
-    order = order[np.argsort(hashes[order], kind="stable")]
-    starts = sorted_runs(hashes[order])
-    counts = np.diff(np.append(starts, len(order)))
-    many = np.repeat((counts > 1) | (np.add.reduceat((state[order] == 2).astype(np.int64), starts) > 0), counts) if len(order) else np.zeros(0, dtype=bool)
-    keep = np.concatenate((np.flatnonzero(sure), order[many]))
-    return pa.table({"doc_id": pa.array(docs[keep]), "place": pa.array(places[keep].astype(np.int32)), "hash": pa.array(hashes[keep].view(np.int64))})
+_FOUND = "doc_id long, start int, end int, hash long, crowded boolean"
+
+
+def _found(docs, starts, sizes, hashes=None, crowded=None) -> pa.RecordBatch:
+    """Intervals to remove, if hashes is None; else contexts to compare."""
+    n = len(docs)
+    starts = starts.astype(np.int64)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(docs, pa.int64()), pa.array(starts.astype(np.int32)), pa.array((starts + sizes).astype(np.int32)),
+            pa.nulls(n, pa.int64()) if hashes is None else pa.array(hashes.view(np.int64)), pa.nulls(n, pa.bool_()) if crowded is None else pa.array(crowded, pa.bool_()),
+        ],
+        names=["doc_id", "start", "end", "hash", "crowded"],
+    )
+
+
+def _compare_bucket(columns: tuple[np.ndarray, ...], crowded: set[int], last: bool) -> tuple[list[pa.RecordBatch], tuple[np.ndarray, ...]]:
+    """Settle what a bucket holds: equal contexts, crowded anchors and, at its end, which contexts to compare."""
+    docs, hashes, contexts, starts, sizes = columns
+    out = []
+    if crowded:
+        known = np.isin(hashes, np.fromiter(crowded, dtype=np.uint64))
+        if known.any():
+            out.append(_found(docs[known], starts[known], sizes[known], hashes[known], np.ones(int(known.sum()), dtype=bool)))
+            docs, hashes, contexts, starts, sizes = (c[~known] for c in (docs, hashes, contexts, starts, sizes))
+    order, fresh = _first_of_each(hashes, contexts, docs, starts)
+    late, kinds = order[~fresh], order[fresh]
+    out.append(_found(docs[late], starts[late], sizes[late]))
+    docs, hashes, contexts, starts, sizes = (c[kinds] for c in (docs, hashes, contexts, starts, sizes))
+    runs = sorted_runs(hashes)
+    counts = np.diff(np.append(runs, len(hashes)))
+    many = np.repeat(counts, counts)
+    over = many > MOST_CONTEXTS
+    crowded.update(hashes[over].tolist())
+    take = over | (last & (many > 1))
+    out.append(_found(docs[take], starts[take], sizes[take], hashes[take], over[take]))
+    return out, tuple(c[~take] for c in (docs, hashes, contexts, starts, sizes))
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of buckets that come one after the other, in a stream."""
+    current, held, size, crowded = None, [], 0, set()
+
+    def settle(last: bool):
+        nonlocal held, size
+        if held:
+            out, rest = _compare_bucket(tuple(np.concatenate(x) for x in zip(*held, strict=True)), crowded, last)
+            held, size = [rest], len(rest[0])
+            yield from out
+
+    for batch in batches:
+        for bucket, settled, n, base, hashes, contexts, docs, starts, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if bucket != current:
+                yield from settle(True)
+                current, held, size, crowded = bucket, [], 0, set()
+            docs, starts, sizes = _unshuffled(docs, n, "i8") + base, _unshuffled(starts, n, "u4"), np.frombuffer(sizes, dtype=np.uint16)
+            if settled:
+                yield _found(docs, starts, sizes)
+                continue
+            # the bucket's number and 32 bits name an anchor
+            named = np.frombuffer(hashes, dtype=np.uint32).astype(np.uint64) + (np.uint64(bucket) << np.uint64(32))
+            held.append((docs, named, np.frombuffer(contexts, dtype=np.uint64), starts.astype(np.int64), sizes.astype(np.int64)))
+            size += n
+            if size >= HELD_ANCHORS:
+                yield from settle(False)
+    yield from settle(True)
+
+
+def mixed(x: int) -> int:
+    return int(mix(np.array([x], dtype=np.int64).view(np.uint64))[0])
 
 
 def _contexts(length: int, n_shards: int):
-    """Cut the contexts; of those that are equal in a block, all but the earliest are settled."""
+    """Cut the contexts to compare, and the windows of crowded anchors; of windows that are equal in a batch, all but the earliest are settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, found = (batch.column(i).to_pylist() for i in range(3))
-            seen: dict[tuple[int, bytes], tuple[int, int]] = {}
+            seen: dict[bytes, tuple[int, int]] = {}
             rows = []
-
-            def add(key: tuple[int, bytes], doc: int, start: int) -> None:
-                got = seen.setdefault(key, (doc, start))
-                if got == (doc, start):
-                    return
-                late = max(got, (doc, start))
-                seen[key] = min(got, (doc, start))
-                rows.append((late[0] % n_shards, key[0], None, *late, len(key[1]), None))
-
-            crowded: dict[tuple[int, bytes], None] = {}
             for doc, text, own in zip(ids, texts, found, strict=True):
                 for x in own:
-                    place, anchor = x["place"], x["hash"]
-                    start = max(0, place + ANCHOR - length)
-                    context = text[start : place + length]
+                    start, end, anchor = x["start"], x["end"], x["hash"]
                     if not x["crowded"]:
-                        add((anchor, context), doc, start)
+                        rows.append((mixed(anchor) % n_shards, anchor, text[start:end], doc, start, end - start, None))
                         continue
-                    for i in range(len(context) - length + 1):
-                        crowded[anchor, context[i : i + length]] = None
-                        add((anchor, context[i : i + length]), doc, start + i)
-            for key, (doc, start) in seen.items():
-                if key in crowded:
-                    rows.append((doc % n_shards, key[0], None, doc, start, length, hashlib.blake2b(key[1], digest_size=16).digest()))
-                else:
-                    rows.append((key[0] % n_shards, key[0], key[1], doc, start, len(key[1]), None))
+                    for i in range(start, end - length + 1):
+                        window = text[i : i + length]
+                        got = seen.setdefault(window, (doc, i))
+                        if got != (doc, i):
+                            late = max(got, (doc, i))
+                            seen[window] = min(got, (doc, i))
+                            rows.append((late[0] % n_shards, anchor, None, *late, length, None))
+            rows += [(doc % n_shards, 0, None, doc, start, length, hashlib.blake2b(window, digest_size=16).digest()) for window, (doc, start) in seen.items()]
             kinds = [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             for i in range(0, len(rows), 8192):
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows[i : i + 8192], strict=True), kinds, strict=True)]
@@ -187,24 +255,13 @@ def _sort_shard(length: int):
         """Removed intervals of one shard; what is settled already, and the windows of crowded anchors, pass through."""
         rows = list(zip(*(group.column(c).to_pylist() for c in ("hash", "context", "doc_id", "start", "size", "window")), strict=True))
         out = [(doc, start, start + size, window) for _, context, doc, start, size, window in rows if context is None]
-        first: dict[tuple[int, bytes], tuple[int, int]] = {}
-        for anchor, context, doc, start, size, _ in rows:
-            if context is None:
-                continue
-            got = first.setdefault((anchor, context), (doc, start))
-            if got == (doc, start):
-                continue
-            if (doc, start) < got:
-                first[anchor, context], (doc, start) = (doc, start), got
-            out.append((doc, start, start + size, None))
         alike: dict[int, list] = {}
-        for (anchor, context), (doc, start) in first.items():
-            alike.setdefault(anchor, []).append((doc, start, context))
-        del first, rows
+        for anchor, context, doc, start, _, _ in rows:
+            if context is not None:
+                alike.setdefault(anchor, []).append((doc, start, context))
+        del rows
         batch, size = [], 0
         for members in alike.values():
-            if len(members) == 1:
-                continue  # equal to nothing else: its copies, if any, are settled above
             if size and size + sum(len(c) for *_, c in members) > 2 * SHARD_BYTES:
                 out += later_windows(batch, length)
                 batch, size = [], 0
@@ -300,20 +357,19 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, doc_id: str = "doc
     n_buckets = power_of_two(total / 40 / BUCKET_ANCHORS, 64, 1 << 22)
     n_shards = power_of_two(total / SHARD_BYTES, 64, 1 << 22)
     named = own.where("doc_id is not null")
-    packed = named.mapInArrow(_packed_anchors(length, n_buckets), "bucket int, base long, width int, hashes binary, docs binary, places binary, state binary")
-    repeated = packed.groupBy("bucket").applyInArrow(_repeated_anchors, "doc_id long, place int, hash long")
-    repeated = written(repeated, "anchors")
-    hot = repeated.groupBy("hash").count().where(F.col("count") > MOST_CONTEXTS).select("hash", F.lit(True).alias("hot"))
-    marked = repeated.join(hot, "hash", "left").select("doc_id", "place", "hash", F.col("hot").isNotNull().alias("crowded"))
-    found = marked.groupBy("doc_id").agg(F.collect_list(F.struct("place", "hash", "crowded")).alias("found"))
-    contexts = named.join(found, "doc_id").select("doc_id", "text", "found").mapInArrow(_contexts(length, n_shards), _CONTEXT)
+    packed = named.mapInArrow(_packed_anchors(length, n_buckets), _PACKED)
+    # a bucket's entries come to one task one after the other, as a stream
+    found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare, _FOUND)
+    found = written(found, "anchors")
+    compare = found.where("hash is not null").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "hash", "crowded")).alias("found"))
+    contexts = named.join(compare, "doc_id").select("doc_id", "text", "found").mapInArrow(_contexts(length, n_shards), _CONTEXT)
     cuts = written(contexts.groupBy("shard").applyInArrow(_sort_shard(length), _CUTS), "suffixes")
     # the windows of crowded anchors, one class per hash: the earliest stays
     crowded = cuts.where("window is not null")
     place = F.struct("doc_id", "start")
     earliest = crowded.groupBy("window").agg(F.min(place).alias("earliest"))
     late = crowded.join(earliest, "window").where(place > F.col("earliest")).select("doc_id", "start", "end")
-    gone = cuts.where("window is null").select("doc_id", "start", "end").union(late)
-    gone = gone.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    gone = cuts.where("window is null").select("doc_id", "start", "end").union(late).union(found.where("hash is null").select("doc_id", "start", "end"))
+    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return own.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_cut(with_text), out)

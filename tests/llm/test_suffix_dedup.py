@@ -45,9 +45,11 @@ def rows(frame):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in frame.collect()}
 
 
-@pytest.mark.parametrize("most", [2_000, 3])
-def test_matches_brute_force(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "flush", "held"), [(2_000, 400_000, 4_000_000), (3, 40, 50), (1, 400_000, 100), (2_000, 10, 10)])
+def test_matches_brute_force(spark, monkeypatch, most, flush, held):
     monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", most)
+    monkeypatch.setattr(suffix_dedup, "FLUSH_ANCHORS", flush)
+    monkeypatch.setattr(suffix_dedup, "HELD_ANCHORS", held)
     docs = corpus(most)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
     assert rows(remove_repeated_bytes(frame)) == brute(docs)
