@@ -30,7 +30,7 @@ from sparkrank.llm.shared import only
 from sparkrank.llm.tokens import BASES, Block, blocks, byte_sums, mix, span_hash
 
 #: The bound of the training sample: so many labelled documents of each kind, those with the least hashes of their ids.
-TRAIN_DOCS = 1500
+TRAIN_DOCS = 1000
 #: Slots of the hashed feature weights, and the lengths in bytes of the beginnings and endings of a word that are features.
 SLOTS, HEADS, TAILS = 1 << 18, (4, 5, 6, 7, 8, 9, 10), (4,)
 #: A feature labels tokens from so many standard deviations and so much difference of logarithms on, in so many toxic documents.
@@ -162,17 +162,34 @@ def label_tokens(slots: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.nd
 
 def unlike(texts: list[str]) -> list[int]:
     """One of each group of copies and near copies: their words would count as often as they are copied."""
-    block = Block([t.lower().encode() for t in texts], separators=None)
-    block.split()
-    hashes, doc, bounds = shingles(block, SHINGLE)
     out, seen = [], set()
-    for i, own in enumerate(order_min_hashes(labelled(hashes, doc), bounds, 6, 1).tolist()):
-        if not any(own) or not seen.intersection(own):
-            out.append(i)
-        seen.update(own)
+    for ids, block in _sample_blocks(texts):
+        hashes, doc, bounds = shingles(block, SHINGLE)
+        for i, own in zip(ids, order_min_hashes(labelled(hashes, doc), bounds, 6, 1).tolist(), strict=True):
+            if not any(own) or not seen.intersection(own):
+                out.append(i)
+            seen.update(own)
     return out
 
 
+def _sample_blocks(texts: list[str]) -> Iterator[tuple[list[int], Block]]:
+    """The sample in blocks, as in scoring, so that the driver holds hashes of one block at a time."""
+    for ids, part in blocks(list(range(len(texts))), [t.lower().encode() for t in texts]):
+        block = Block(part, separators=None)
+        block.split()
+        yield ids, block
+
+
+def _sample_arrays(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots, first words and documents of all words of a sample."""
+    slots, first, doc = [np.zeros((2 + len(HEADS) + len(TAILS) - 1, 0), dtype=np.int32)], [np.zeros(0, dtype=bool)], [np.zeros(0, dtype=np.int64)]
+    for ids, block in _sample_blocks(texts):
+        slots.append(features(block))
+        first.append(_firsts(block))
+        doc.append(block.doc + ids[0])
+    return np.concatenate(slots, axis=1), np.concatenate(first), np.concatenate(doc)
+
+
 def train(texts: list[str], toxic: list[bool]) -> Model:
     """Fit the chain on a part of a sample of labelled documents, and the document curve on the rest."""
     apart = unlike(texts)
@@ -187,10 +204,8 @@ def train(texts: list[str], toxic: list[bool]) -> Model:
     chain_part = [i for i, c in enumerate(for_curve) if not (alone and c)]
     model = _train_chain([texts[i] for i in chain_part], np.array([toxic[i] for i in chain_part], dtype=bool))
     curve_part = [i for i, c in enumerate(for_curve) if c]
-    block, truth = Block([texts[i].lower().encode() for i in curve_part], separators=None), np.array([toxic[i] for i in curve_part], dtype=bool)
-    block.split()
-    total, most = _per_document(block, model.marginals(features(block), _firsts(block)))
-    x, target = _summary(total, most, block.n_words), truth.astype(np.float64)
+    target = np.array([toxic[i] for i in curve_part], dtype=np.float64)
+    x = np.concatenate([_summary(*_per_document(block, model.marginals(features(block), _firsts(block))), block.n_words) for _, block in _sample_blocks([texts[i] for i in curve_part])])
     for _ in range(25):  # ridge-penalised logistic regression by Newton's method
         s = 1 / (1 + np.exp(-np.clip(x @ model.curve, -30, 30)))
         gradient = x.T @ (target - s) - 0.1 * model.curve
@@ -199,10 +214,8 @@ def train(texts: list[str], toxic: list[bool]) -> Model:
 
 
 def _train_chain(texts: list[str], truth: np.ndarray) -> Model:
-    block = Block([t.lower().encode() for t in texts], separators=None)
-    block.split()
-    slots, first = features(block), _firsts(block)
-    y = label_tokens(slots, block.doc, truth)
+    slots, first, doc = _sample_arrays(texts)
+    y = label_tokens(slots, doc, truth)
     model = Model(np.zeros(SLOTS, dtype=np.float32), -4.0, np.zeros((2, 2)), 0.0, np.zeros(4))
     seen = [np.bincount(own[y], minlength=SLOTS) for own in slots]
     observed = sum(seen)
