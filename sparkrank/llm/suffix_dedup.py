@@ -46,7 +46,7 @@ BUCKET_ANCHORS, SHARD_BYTES = 1 << 15, 1 << 21
 #: Anchors that a task collects before it sends them, and that a bucket holds before it looks for crowded ones.
 FLUSH_ANCHORS, HELD_ANCHORS = 400_000, 4_000_000
 #: An anchor with more different contexts than these is dealt by window.
-MOST_CONTEXTS = 2_000
+MOST_CONTEXTS = 10_000
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -276,9 +276,40 @@ def _sort_shard(length: int):
     return run
 
 
+def _sieved(contexts: list[tuple[int, int, bytes]], length: int) -> list[tuple[int, int, bytes]]:
+    """Without what surely does not repeat: contexts are cut to the windows whose hash occurs twice among them."""
+    sizes = np.array([len(c[2]) for c in contexts], dtype=np.int64)
+    offsets = np.cumsum(sizes) - sizes
+    counts = np.maximum(sizes - length + 1, 0)
+    at = spread(offsets, counts)
+    if not len(at):
+        return []
+    sums = byte_sums(np.frombuffer(b"".join(c[2] for c in contexts), dtype=np.uint8))
+    hashes = span_hash(sums, at, at + length, BASES[0])
+    order = np.argsort(hashes, kind="stable")
+    ordered = hashes[order]
+    twice = np.zeros(len(at), dtype=bool)
+    same = ordered[1:] == ordered[:-1]
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    hit = np.flatnonzero(twice)
+    if not len(hit):
+        return []
+    owner = np.repeat(np.arange(len(contexts)), counts)[hit]
+    first = sorted_runs(owner)
+    last = np.append(first[1:], len(owner)) - 1
+    out = []
+    for i, a, b in zip(owner[first].tolist(), (at[hit[first]] - offsets[owner[first]]).tolist(), (at[hit[last]] - offsets[owner[last]]).tolist(), strict=True):
+        doc, start, context = contexts[i]
+        out.append((doc, start + a, context[a : b + length]))
+    return out
+
+
 def later_windows(contexts: list[tuple[int, int, bytes]], length: int) -> list[tuple[int, int, int, None]]:
     """Of (doc, start, context) triples: the intervals of windows that also begin earlier, by a suffix array."""
-    contexts = sorted(contexts)
+    contexts = sorted(_sieved(contexts, length))
+    if not contexts:
+        return []
     docs = np.array([c[0] for c in contexts], dtype=np.int64)
     starts = np.array([c[1] for c in contexts], dtype=np.int64)
     sizes = np.array([len(c[2]) for c in contexts], dtype=np.int64)

@@ -93,3 +93,16 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_long_texts(spark):
+    r = random.Random(6)
+    words = [f"w{r.randint(0, 10**6)}" for _ in range(20_000)]
+    close, far = words[:], words[:]
+    for i in range(0, 20_000, 100):
+        close[i] = "x"
+    for i in range(0, 20_000, 20):
+        far[i] = "y"
+    docs = [(1, " ".join(words)), (2, " ".join(close)), (3, " ".join(far))]
+    got = {x.doc_id: x.class_id for x in near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}

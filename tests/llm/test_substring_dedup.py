@@ -57,3 +57,12 @@ def test_repeated_null_ids_and_names(spark):
     got = sorted(((r.doc_id, r.n_removed) for r in remove_repeated_windows(frame).collect()), key=repr)
     assert got == [(1, 0), (1, 0), (2, 20), (None, 0)]
     assert remove_repeated_windows(frame.where("false")).count() == 0
+
+
+def test_text_longer_than_a_block(spark):
+    r = random.Random(8)
+    text = " ".join(f"w{r.randint(0, 10**6)}" for _ in range(180_000))
+    assert len(text) > 1 << 20
+    docs = [(1, text), (2, "lead " + text[len(text) // 2 :])]
+    got = {x.doc_id: (x.n_words, x.n_removed, x.n_spans, x.kept_sha256, x.kept_text) for x in remove_repeated_windows(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)

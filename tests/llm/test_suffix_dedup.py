@@ -82,3 +82,10 @@ def test_suffix_array_against_sorting():
             while listed[a + n] == listed[b + n]:
                 n += 1
             assert shared[b] == n
+
+
+def test_text_longer_than_a_block(spark):
+    r = random.Random(8)
+    text = "".join(r.choice("abcdefgh ") for _ in range(1_200_000))
+    docs = [(1, text), (2, "lead " + text[900_000:])]
+    assert rows(remove_repeated_bytes(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
