@@ -69,7 +69,7 @@ class Filters:
     def number(self, name: str, op: str, value: Number) -> Column:
         """Exact comparison of a number column with any literal, whatever their types."""
         c = self._column(name, Kind.NUMERIC, Kind.INTEGER, Kind.UNSIGNED)
-        return exact_compare(c, self.kinds[name] in _WHOLE, op, value)
+        return exact_compare(c, self.kinds[name] in _WHOLE, op, value, 64 if self.kinds[name] is Kind.UNSIGNED else 63)
 
     def between(self, name: str, low: Number, high: Number) -> Column:
         return self.number(name, ">=", low) & self.number(name, "<=", high)
@@ -128,27 +128,28 @@ def _compare(a: Column, op: str, b: Column) -> Column:
     return made[op]()
 
 
-def exact_compare(c: Column, whole: bool, op: str, value: Number) -> Column:
+def exact_compare(c: Column, whole: bool, op: str, value: Number, bits: int = 63) -> Column:
     """Compare a whole-number or double column with a literal without rounding either.
 
     A literal that the column's type cannot hold is replaced by its neighbour in that type, and
-    the operator by the one that asks the same question of the neighbour.
+    the operator by the one that asks the same question of the neighbour. bits: of the largest
+    whole number; beyond it every present value gives one answer.
     """
     if isinstance(value, float) and not math.isfinite(value):
         raise Refused(f"the number {value}")
     exact = Decimal(value)
     near = Decimal(math.floor(exact)) if whole else Decimal(float(value))
-    if whole and near == exact:
-        return _compare(c, op, F.lit(int(near)) if -(2**63) <= near < 2**63 else F.lit(near))
     present = c.isNotNull()
     if not whole:
         # a NaN is no number: unequal to all, and in no order
-        number = F.when(F.isnan(c), F.lit(op == "!=")).when(present, _compare(c, *_shifted(op, near, exact)))
-        return number
-    if op in ("==", "!="):
-        return F.when(present, F.lit(op == "!="))
-    op, near_col = _shifted(op, near, exact)
-    return _compare(c, op, F.lit(int(near)) if -(2**63) <= near < 2**63 else F.lit(near))
+        op, literal = _shifted(op, near, exact)
+        return F.when(F.isnan(c), F.lit(op == "!=")).when(present, _compare(c, op, literal))
+    if abs(near) >= 2**bits or (near != exact and op in ("==", "!=")):
+        _compare(c, op, F.lit(0))  # refuses an unknown operator
+        return F.when(present, F.lit({"==": False, "!=": True}.get(op, (op[0] == "<") == (near > 0))))
+    if near != exact:
+        op, _ = _shifted(op, near, exact)
+    return _compare(c, op, F.lit(int(near)) if bits == 63 else F.lit(near).cast("decimal(20,0)"))
 
 
 def _shifted(op: str, near: Decimal, exact: Decimal) -> tuple[str, Column]:

@@ -61,6 +61,40 @@ def batch_top_k(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]
     return found.withColumn("rank", F.row_number().over(place).cast("long")).where(F.col("rank") <= k).withColumnRenamed("id", vec_id)
 
 
+#: Queries and rows that meet in one step of block_top_k, about.
+QUERY_BLOCK, ROW_BLOCK = 1024, 4096
+
+
+def block_top_k(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """As batch_top_k for any number of queries: blocks of queries meet blocks of rows, and of each meeting only the best k of a query go on.
+
+    Neither the queries nor the rows pass through the driver.
+    """
+    own = [df.where(F.col(f"`{vector}`").isNotNull()).select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("vector")) for df in (queries, vectors)]
+    counts = [-(-df.count() // size) for df, size in zip(own, (QUERY_BLOCK, ROW_BLOCK), strict=True)]
+
+    def packed(df: DataFrame, n: int, name: str) -> DataFrame:
+        listed = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(max(n, 1))).cast("int").alias(f"{name}_block"))
+        return listed.agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("vector")).alias(f"{name}_values"))
+
+    q, r = packed(own[0], counts[0], "query"), packed(own[1], counts[1], "row")
+    meetings = r.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(max(counts[0], 1) - 1)))).join(q, "query_block")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for m in batch.itertuples(index=False):
+                rows, asked = np.asarray(m.row_ids), np.asarray(m.query_ids)
+                product = np.asarray(m.row_values, dtype=np.float64).reshape(len(rows), -1) @ np.asarray(m.query_values, dtype=np.float64).reshape(len(asked), -1).T
+                take = min(k, len(rows))
+                edge = -np.partition(-product, take - 1, axis=0)[take - 1]
+                row, query = np.nonzero(product >= edge)  # ties at the edge go on, ids decide later
+                yield pd.DataFrame({"query_id": asked[query], "id": rows[row], "score": product[row, query]})
+
+    found = meetings.mapInPandas(run, "query_id long, id long, score double")
+    place = Window.partitionBy("query_id").orderBy(*ranking("score", "id"))
+    return found.withColumn("rank", F.row_number().over(place).cast("long")).where(F.col("rank") <= k).withColumnRenamed("id", vec_id)
+
+
 def best_of_parent(scored: DataFrame, parent: str, k: int, vec_id: str = "vec_id") -> DataFrame:
     """The best row of each parent, and of these the first k. The best comes from a partial aggregate, so a parent with most rows is no burden."""
     best = scored.groupBy(parent).agg(F.max(F.struct((F.col("score").cast("float") + F.lit(0.0).cast("float")).alias("wire"), (-F.col(vec_id)).alias("negated"), "score")).alias("best"))
@@ -114,6 +148,6 @@ def nearest_cells(vector: Column, centres: Sequence[Sequence[float]], n: int = 1
 
 
 def probe_top_k(celled: DataFrame, centres: Sequence[Sequence[float]], query: Sequence[float], k: int, probes: int, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Approximate: only rows of the cells nearest to the query. celled has a column cell, best a partition column of the table."""
-    order = np.argsort(((np.array(centres) - np.array(query)) ** 2).sum(axis=1))[:probes]
+    """Approximate: only rows of the cells whose centroids score best. celled has a column cell, best a partition column of the table."""
+    order = np.argsort(-(np.array(centres) @ np.array(query)))[:probes]
     return dense_top_k(celled.where(F.col("cell").isin([int(c) for c in order])).drop("cell"), query, k, vec_id=vec_id, vector=vector)

@@ -50,7 +50,7 @@ def boolean(node: Clause | Bool, depth: int = 0) -> tuple[Column, Column]:
         member = member & (reduce(lambda a, b: a + b, [m.cast("int") for m, _ in should]) >= least)
     member = reduce(lambda a, b: a & ~b, [m for m, _ in must_not], member)
     score = reduce(lambda a, b: a + b, [s for _, s in [*must, *should]], zero)
-    return member, score
+    return member, F.when(member, score).otherwise(zero)  # a tree that is left out brings no score
 
 
 def select(df: DataFrame, tree: Clause | Bool) -> DataFrame:

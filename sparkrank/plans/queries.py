@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,11 +178,10 @@ def bm25_fused(spark, d):
     return rounded(lexical.bm25_fused(table(spark, d, "part"), ["red", "ring", "widget"], {"p_name": (2.0, 1.2, 0.75), "p_type": (0.0, 0.9, 0.4)}, doc_id="p_partkey"), "score")
 
 
-@query(f"WITH {_LEX} SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM (SELECT doc_id FROM documents WHERE doc_id % 20 = 0) LEFT JOIN lex USING (doc_id)")
+@query(f"WITH {_LEX} SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM (SELECT DISTINCT doc_id FROM labels) LEFT JOIN lex USING (doc_id)")
 def bm25_rescore(spark, d):
-    """Scores of given ids: the stated query set of ids divisible by 20, by the statistics of all rows."""
-    docs = table(spark, d, "documents")
-    return rounded(lexical.rescore(docs, docs.where("doc_id % 20 = 0"), TERMS), "score")
+    """Scores of given ids, here the labelled documents, by the statistics of all rows."""
+    return rounded(lexical.rescore(table(spark, d, "documents"), table(spark, d, "labels"), TERMS), "score")
 
 
 @query(f"WITH {_LEX} SELECT doc_id, round(score, 6) AS score FROM lex")
@@ -193,7 +191,7 @@ def bm25_indexed(spark, d):
 
 
 _EXPLAIN = " UNION ALL ".join(
-    f"SELECT doc_id, '{t}' AS term, tf{i} AS tf, df{i} AS df, dl, round(ln(1 + (n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)), 6) AS idf, round(ln(1 + (n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) * (tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS contribution FROM lex_d, lex_s WHERE tf{i} > 0 AND doc_id % 20 = 0"
+    f"SELECT doc_id, '{t}' AS term, tf{i} AS tf, df{i} AS df, dl, round(ln(1 + (n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)), 6) AS idf, round(ln(1 + (n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) * (tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS contribution FROM lex_d, lex_s WHERE tf{i} > 0 AND doc_id IN (SELECT doc_id FROM labels)"
     for i, t in enumerate(TERMS)
 )
 
@@ -201,7 +199,7 @@ _EXPLAIN = " UNION ALL ".join(
 @query(f"WITH {_LEX} {_EXPLAIN}")
 def explain_lexical(spark, d):
     docs = table(spark, d, "documents")
-    return rounded(lexical.explain_bm25(docs, TERMS, docs.where("doc_id % 20 = 0")), "idf", "contribution")
+    return rounded(lexical.explain_bm25(docs, TERMS, table(spark, d, "labels")), "idf", "contribution")
 
 
 _TOKENS = f"SELECT doc_id, unnest({_tok('text')}) AS term FROM documents"
@@ -315,11 +313,9 @@ def dense_filtered(spark, d):
 @query("""SELECT q AS query_id, vec_id, round(s, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s::FLOAT DESC, vec_id) AS r FROM
     (SELECT a.vec_id AS q, b.vec_id, list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE r <= 5""")
 def dense_batch(spark, d):
-    """The stated query set - ids divisible by 20 - against all rows, in blocks of queries."""
+    """The stated query set - ids divisible by 20 - against all rows, in blocks."""
     t = table(spark, d, "embeddings")
-    queries = sorted((r["vec_id"], list(r["embedding"])) for r in t.where("vec_id % 20 = 0").collect())
-    blocks = [queries[i : i + 10_000] for i in range(0, len(queries), 10_000)]
-    return rounded(reduce(lambda a, b: a.unionByName(b), [dense.batch_top_k(t, b, 5) for b in blocks]), "score").select("query_id", "vec_id", "score", "rank")
+    return rounded(dense.block_top_k(t, t.where("vec_id % 20 = 0"), 5), "score").select("query_id", "vec_id", "score", "rank")
 
 
 @query(f"SELECT label, vec_id, round(s, 6) AS score FROM (SELECT label, vec_id, s, row_number() OVER (PARTITION BY label ORDER BY s::FLOAT DESC, vec_id) AS r FROM (SELECT label, vec_id, {_DOT.format(q=7)} AS s FROM embeddings)) WHERE r = 1 ORDER BY score DESC, vec_id LIMIT 5")
@@ -592,10 +588,9 @@ def resolve_parents(spark, d):
     return sel.parents(table(spark, d, "lineitem").where("l_quantity = 50").select("l_orderkey", "l_linenumber"), lineage, "l_orderkey")
 
 
-@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 20 = 0")
+@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def fetch_values(spark, d):
-    docs = table(spark, d, "documents")
-    return sel.fetch(docs, docs.where("doc_id % 20 = 0"), ["lang", "n_chars"])
+    return sel.fetch(table(spark, d, "documents"), table(spark, d, "labels"), ["lang", "n_chars"])
 
 
 # ---------------------------------------------------------------- aggregates
@@ -785,12 +780,15 @@ def vocab_window_topk(spark, d):
     return vocabulary.heavy_hitters(vocabulary.windowed_terms(table(spark, d, "documents"), 250), 20)
 
 
-@query(f"""WITH c AS (SELECT term, count(*) FILTER (doc_id < 100) AS na, count(*) FILTER (doc_id BETWEEN 100 AND 199) AS nb FROM ({_TOKENS}) WHERE doc_id < 200 GROUP BY term),
+@query(f"""WITH c AS (SELECT term, count(*) FILTER (doc_id < h) AS na, count(*) FILTER (doc_id >= h) AS nb FROM ({_TOKENS}), (SELECT (max(doc_id) + 2) // 2 AS h FROM documents) GROUP BY term),
     t AS (SELECT *, na / sum(na) OVER () AS p, nb / sum(nb) OVER () AS q FROM c)
     SELECT count(*) FILTER (na = 0 AND nb > 0) / count(*) FILTER (nb > 0) AS novelty, coalesce(sum(nb) FILTER (na = 0), 0) / sum(nb) AS oov_share,
     round(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) / 2 + sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2, 6) AS js FROM t""")
 def vocab_drift(spark, d):
-    return rounded(vocabulary.drift(vocabulary.windowed_terms(table(spark, d, "documents"), 100), 0, 1), "js")
+    """Drift from the first half of the corpus to the second."""
+    docs = table(spark, d, "documents")
+    half = (docs.agg(F.max("doc_id")).first()[0] + 2) // 2
+    return rounded(vocabulary.drift(vocabulary.windowed_terms(docs, half), 0, 1), "js")
 
 
 @query()
