@@ -15,7 +15,7 @@ from sparkrank.llm.exact_dedup import dedup_exact
 from sparkrank.llm.mixing import mix_sources
 from sparkrank.llm.near_dedup import near_classes
 from sparkrank.llm.queries import MIX_EPOCHS, MIX_SEED, MIX_SHARE, MIX_WEIGHTS, domain_of, table
-from sparkrank.llm.shared import shared_folder
+from sparkrank.llm.shared import discard, folders, shared_folder
 from sparkrank.llm.toxicity import fit, score_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -59,9 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, others = table(spark, sf_dir, "documents"), folders()
     for name, stage in STAGES:
         path = shared_folder(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
+        discard(spark, keep=others | {path})  # the stage before, and what this one wrote on its way
         docs = spark.read.parquet(path)
     return docs

@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Folders made by this driver.
+_made: list[str] = []
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for one job, in the place that the cluster shares.
 
@@ -19,7 +23,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def folders() -> set[str]:
+    """The folders made by this driver so far."""
+    return set(_made)
+
+
+def discard(spark: SparkSession, keep: set[str]) -> None:
+    """Delete the folders made by this driver but those to keep: for when what was read from them is written elsewhere."""
+    for path in [p for p in _made if p not in keep]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _made.remove(path)
 
 
 def written(frame: DataFrame, name: str) -> DataFrame:

@@ -17,6 +17,7 @@ documents of both kinds the score is 0 everywhere.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,7 @@ from sparkrank.llm.shared import only
 from sparkrank.llm.tokens import BASES, Block, blocks, byte_sums, mix, span_hash
 
 #: The bound of the training sample: so many labelled documents of each kind, those with the least hashes of their ids.
-TRAIN_DOCS = 1000
+TRAIN_DOCS = 800
 #: Slots of the hashed feature weights, and the lengths in bytes of the beginnings and endings of a word that are features.
 SLOTS, HEADS, TAILS = 1 << 18, (4, 5, 6, 7, 8, 9, 10), (4,)
 #: A feature labels tokens from so many standard deviations and so much difference of logarithms on, in so many toxic documents.
@@ -233,8 +234,9 @@ def _train_chain(texts: list[str], truth: np.ndarray) -> Model:
         model.bias += RATE * g_bias / np.sqrt(grown_bias + 1e-6)
         # expected pairs of neighbouring states
         chain, after = np.exp(model.chain), (odds * right)[1:]
-        joint = np.array([np.full(len(after), chain[0, 0]), chain[0, 1] * after, chain[1, 0] * left[:-1], chain[1, 1] * left[:-1] * after])
-        expected = (joint / joint.sum(axis=0))[:, inner[1:]].sum(axis=1).reshape(2, 2)
+        joint = [chain[0, 0], chain[0, 1] * after, chain[1, 0] * left[:-1], chain[1, 1] * left[:-1] * after]
+        share = inner[1:] / (joint[0] + joint[1] + joint[2] + joint[3])
+        expected = np.array([(x * share).sum() for x in joint]).reshape(2, 2)
         g_chain = pairs - expected
         grown_chain += g_chain**2
         model.chain += RATE * g_chain / np.sqrt(grown_chain + 1e-6)
@@ -257,10 +259,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS, doc_id: st
     if not picked:
         return None
     chosen = F.broadcast(spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in picked], "doc_id long, toxic boolean"))
-    rows = own.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).where("text is not null").collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    toxic = [r["toxic"] for r in rows]
-    return train([r["text"] for r in rows], toxic) if any(toxic) and not all(toxic) else None
+    rows = own.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).where("text is not null")
+    # the sample, bounded as it is, meets in one task; the driver gets the parameters alone
+    fitted = rows.coalesce(1).mapInArrow(_train_task, "model binary").collect()
+    return Model(*pickle.loads(fitted[0]["model"])) if fitted else None
+
+
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    toxic = [t for _, t, _ in rows]
+    if any(toxic) and not all(toxic):
+        m = train([text for *_, text in rows], toxic)
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps((m.weights, m.bias, m.chain, m.start, m.curve))]})
 
 
 _OUT = "doc_id long, score double, n_toxic double, spans array<struct<start: int, end: int, probability: double>>"
