@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkrank.llm.shared import written
+
 #: Hexadecimal digits of the seeded order that name a slice: 4096 slices of a leaf.
 SLICE_DIGITS = 3
 LEVELS = ("domain", "lang", "source")
@@ -86,6 +88,7 @@ def mix_sources(
     own = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"), named(domain).alias("domain"), named(F.col(f"`{lang}`")).alias("lang"), named(F.col(f"`{source}`")).alias("source"), count_tokens(F.col(f"`{text}`")).alias("n_tokens")
     )
+    own = written(own, "tokens")  # a few bytes a row: the texts are read once
     leaves = own.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     if budget is None:
         budget = int((leaves.agg(F.sum("tokens")).first()[0] or 0) * share)
