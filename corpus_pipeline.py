@@ -10,40 +10,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkrank.llm.decontaminate import drop_contaminated
+from sparkrank.llm.decontaminate import find_contamination
 from sparkrank.llm.exact_dedup import dedup_exact
 from sparkrank.llm.mixing import mix_sources
 from sparkrank.llm.near_dedup import near_classes
 from sparkrank.llm.queries import MIX_EPOCHS, MIX_SEED, MIX_SHARE, MIX_WEIGHTS, domain_of, table
-from sparkrank.llm.shared import discard, folders, shared_folder
+from sparkrank.llm.shared import discard, folders, shared_folder, written
 from sparkrank.llm.toxicity import fit, score_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document is rejected from this score on.
 TOXIC = 0.5
+#: Ids of dropped documents that may travel to every task: 8 bytes each, some 32 MB as a hash table.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not among ids.
+
+    The ids are written down and counted; up to BROADCAST_IDS of them go to every task, so that
+    no text moves. Beyond that the join deals both sides by doc_id.
+    """
+    ids = written(ids.select("doc_id").distinct(), "dropped")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the model of toxic spans, fitted on the labelled ones, scores below TOXIC."""
-    rejected = score_documents(docs, fit(docs, table(spark, sf_dir, "labels"))).where(F.col("score") >= TOXIC).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return without(docs, scored.where(F.col("score") >= TOXIC))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of equal texts."""
-    dropped = dedup_exact(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """Keep one document of each group of equal texts. Rows that repeat a doc_id stay or go together."""
+    judged = dedup_exact(docs).groupBy("doc_id").agg(F.bool_or("kept").alias("kept"))
+    return without(docs, judged.where("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of near duplicates."""
-    dropped = near_classes(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    return without(docs, near_classes(docs).where("not kept"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that hold no benchmark item."""
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return without(docs, find_contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
