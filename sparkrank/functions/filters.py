@@ -144,7 +144,7 @@ def exact_compare(c: Column, whole: bool, op: str, value: Number, bits: int = 63
         # a NaN is no number: unequal to all, and in no order
         op, literal = _shifted(op, near, exact)
         return F.when(F.isnan(c), F.lit(op == "!=")).when(present, _compare(c, op, literal))
-    if abs(near) >= 2**bits or (near != exact and op in ("==", "!=")):
+    if near >= 2**bits or near < -(2**63) or (near != exact and op in ("==", "!=")):
         _compare(c, op, F.lit(0))  # refuses an unknown operator
         return F.when(present, F.lit({"==": False, "!=": True}.get(op, (op[0] == "<") == (near > 0))))
     if near != exact:
