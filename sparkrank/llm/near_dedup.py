@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sparkrank.llm.components import connected_components
 from sparkrank.llm.shared import only, written
-from sparkrank.llm.tokens import Block, blocks, mix, window_hashes
+from sparkrank.llm.tokens import Block, blocks, mix, slices, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Sketches per text and labelled shingles in each: two texts of similarity 0.8 share none with probability 0.001.
@@ -95,7 +95,7 @@ def order_min_hashes(keyed: np.ndarray, bounds: np.ndarray, sketches: int, picks
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's words as 32-bit hashes, a digest of the sequence, and its number of words."""
-    for batch in batches:
+    for batch in slices(batches):
         for ids, texts in blocks(batch.column(0).to_pylist(), [t.lower().encode() for t in batch.column(1).to_pylist()]):
             block = Block(texts, separators=None)
             block.split()
@@ -115,7 +115,7 @@ def _shingled(words: bytes) -> np.ndarray:
 
 def _sketches(sketches: int, picks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, words = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for own, part in blocks(ids, words):
                 sequences = [_shingled(w) for w in part]

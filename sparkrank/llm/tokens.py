@@ -6,7 +6,7 @@ size or by the longest single document.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -128,6 +128,13 @@ def blocks(ids: list, texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[
         yield ids[at:], texts[at:]
 
 
+def slices(batches: Iterable, rows: int = 512) -> Iterator:
+    """Smaller batches of the same rows, so that a task holds fewer of them as Python values."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def sorted_runs(keys: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins in a sorted array."""
     if not len(keys):
