@@ -4,7 +4,8 @@ The leaves of a domain-language-source tree hold tokens; a leaf can be read max_
 From the root down, a node's budget goes to its children by weight; a child that has less than
 its share gives all it has, and the shortage goes to its siblings by their weights. A budget
 never exceeds what a node's leaves hold, so a shortage leaves a node only when all its children
-are used up: siblings come before ancestors. All of this is integer arithmetic in windows over
+are used up: siblings come before ancestors. What a node holds is what its leaves may give: a leaf
+that has weight 0 itself, or under a node of weight 0, holds nothing. All of this is integer arithmetic in windows over
 the (small) table of nodes.
 
 A leaf's budget is whole epochs and a prefix of one more, in an order seeded for leaf and epoch.
@@ -63,7 +64,10 @@ def allocate(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 def plan_budgets(leaves: DataFrame, weights: dict[tuple[str, ...], int], budget: int, max_epochs: int) -> DataFrame:
     """leaves: domain, lang, source, tokens. Returns domain, lang, source, tokens, given."""
-    leaves = leaves.withColumn("cap", F.col("tokens") * max_epochs)
+    drawn = F.lit(True)
+    for depth in range(1, len(LEVELS) + 1):
+        drawn = drawn & (_weight(LEVELS[:depth], weights) > 0)
+    leaves = leaves.where(drawn).withColumn("cap", F.col("tokens") * max_epochs)
     given = None
     for depth in range(1, len(LEVELS) + 1):
         levels = LEVELS[:depth]

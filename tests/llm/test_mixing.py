@@ -69,3 +69,17 @@ def test_matches_brute_force(spark):
 def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id long, text string, lang string, source string, tokens int")
     assert mix_sources(frame, F.lit("d"), {}, share=0.5).count() == 0
+
+
+def test_weight_zero_holds_nothing(spark):
+    """What only a leaf of weight 0 holds is no reason to give its parents a budget: it goes to their siblings."""
+    docs = [(i, " ".join("x" * 10), lang, source) for i, (lang, source) in enumerate([("en", "a1"), ("en", "a0"), ("de", "a1"), ("xx", "a1"), ("en", "b1")] * 20)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(3)
+    for weights, expected in (
+        ({("b",): 0, ("*", "*", "a0"): 0, ("*", "en"): 9, ("*", "xx"): 0}, {("en", "a1"): 400, ("de", "a1"): 300}),
+        ({("a",): 9, ("*", "*", "a1"): 0}, {("en", "a0"): 400, ("en", "b1"): 300}),
+    ):
+        given = {}
+        for r in mix_sources(frame, F.substring("source", 1, 1), weights, budget=700, max_epochs=2, seed=1).collect():
+            given[r.lang, r.source] = given.get((r.lang, r.source), 0) + r.n_tokens
+        assert given == expected
