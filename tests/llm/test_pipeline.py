@@ -65,3 +65,40 @@ def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, corpus[0])
     assert set(corpus_pipeline.COLUMNS) < set(out.columns) and out.count() > 0
     assert {r.doc_id for r in out.collect()} <= set(corpus[1])
+
+
+def test_repeated_clashing_and_null_ids(spark, tmp_path):
+    """Verdicts hit rows, not doc_ids."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    item, near, rude = say(20), say(150), lambda: say(40) + " " + " ".join(f"idiot {say(8)} scum" for _ in range(6))
+    docs, labels = [], []
+    for i in range(300):
+        docs.append((i, rude() if i % 4 == 0 else say(120)))
+        labels.append((i, int(i % 4 == 0)))
+    repeated, clean = say(100), [say(100) for _ in range(4)]
+    docs += [(2000, repeated)] * 4 + [(2001, near), (2002, near + " one more"), (2002, clean[0])]
+    docs += [(2003, rude()), (2003, clean[1]), (2004, say(30) + " " + item + " " + say(30)), (2004, clean[2])]
+    docs += [(None, rude()), (None, repeated), (None, near + " two more"), (None, say(30) + " " + item + " " + say(30)), (None, clean[3])]
+    bad = {t for i, t in docs if i is None or i >= 2000} - {repeated, near, *clean}
+    rows = [(i, t, "en", "src0", len(t)) for i, t in docs]
+    d = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    frame = spark.read.parquet(f"{d}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, d)
+        kept = [(x.doc_id, x.text) for x in out.collect()]
+        frame = spark.createDataFrame(out.collect(), frame.schema)
+    assert not bad & {t for _, t in kept}
+    assert [k for k in kept if k[1] == repeated] == [(2000, repeated)] and (2001, near) in kept
+    assert {(2002, clean[0]), (2003, clean[1]), (2004, clean[2]), (None, clean[3])} <= set(kept)
+    final = [(x.doc_id, x.text, x.epoch) for x in corpus_pipeline.run(spark, d).collect()]
+    assert len(final) == len(set(final)) and {x[:2] for x in final} <= set(kept)
+    # the last stage by itself: equal rows come out as often as they are chosen
+    frame = spark.createDataFrame([x for x in rows if x[0] is None or x[0] >= 2000] * 2, frame.schema)
+    mixed = corpus_pipeline.mix(spark, frame, d).collect()
+    assert sum(x.n_tokens for x in mixed) <= 0.75 * sum(len(x.text.split()) for x in frame.collect())
+    assert mixed and max(sum(y.text == x.text and y.epoch == x.epoch for y in mixed) for x in mixed) <= 10
