@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrank.llm.near_dedup import SHINGLE, labelled, order_min_hashes, shingles
+from sparkrank.llm.near_dedup import SHINGLE, THRESHOLD, aligned, labelled, order_min_hashes, shingles
 from sparkrank.llm.shared import only
 from sparkrank.llm.tokens import BASES, Block, blocks, byte_sums, mix, span_hash
 
 #: The bound of the training sample: so many labelled documents of each kind, those with the least hashes of their ids.
-TRAIN_DOCS = 800
+TRAIN_DOCS = 1500
 #: Slots of the hashed feature weights, and the lengths in bytes of the beginnings and endings of a word that are features.
 SLOTS, HEADS, TAILS = 1 << 18, (4, 5, 6, 7, 8, 9, 10), (4,)
 #: A feature labels tokens from so many standard deviations and so much difference of logarithms on, in so many toxic documents.
@@ -162,14 +162,23 @@ def label_tokens(slots: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.nd
 
 
 def unlike(texts: list[str]) -> list[int]:
-    """One of each group of copies and near copies: their words would count as often as they are copied."""
-    out, seen = [], set()
+    """One of each group of copies and near copies: their words would count as often as they are copied. Near copies are those of near_dedup."""
+    out: list[int] = []
+    seen: dict[int, list[int]] = {}  # texts kept, by sketch
+    held: dict[int, np.ndarray] = {}
     for ids, block in _sample_blocks(texts):
         hashes, doc, bounds = shingles(block, SHINGLE)
-        for i, own in zip(ids, order_min_hashes(labelled(hashes, doc), bounds, 6, 1).tolist(), strict=True):
-            if not any(own) or not seen.intersection(own):
-                out.append(i)
-            seen.update(own)
+        for k, (i, own) in enumerate(zip(ids, order_min_hashes(labelled(hashes, doc), bounds, 6, 1).tolist(), strict=True)):
+            if any(own):
+                sequence = hashes[bounds[k] : bounds[k + 1]]
+                near = [held[j] for j in {j for s in own for j in seen.get(s, ())}]
+                near = [x for x in near if min(len(x), len(sequence)) >= THRESHOLD * max(len(x), len(sequence))]
+                if any(aligned(sequence.tolist(), x.tolist(), THRESHOLD) for x in near):
+                    continue
+                held[i] = sequence.copy()
+                for s in own:
+                    seen.setdefault(s, []).append(i)
+            out.append(i)
     return out
 
 

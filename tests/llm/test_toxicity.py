@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from sparkrank.llm.toxicity import Model, _scan, fit, in_training_fold, score_documents, train
+from sparkrank.llm.toxicity import TRAIN_DOCS, Model, _scan, fit, in_training_fold, score_documents, train, unlike
 
 
 def brute_marginals(odds, first, chain, start):
@@ -76,3 +76,12 @@ def test_no_labels(spark):
     frame = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert fit(frame, spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")) is None
     assert isinstance(train(["a b"] * 3, [True, False, False]), Model)
+
+
+def test_sample_loses_near_copies_only():
+    r = random.Random(3)
+    say = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    base = say(200)
+    texts = [" ".join(base), " ".join(base[:120] + say(80)), " ".join([*base, "more"]), " ".join(base[60:] + say(60)), "", "", " ".join(base)]
+    assert unlike(texts) == [0, 1, 3, 4, 5]
+    assert TRAIN_DOCS == 1500
