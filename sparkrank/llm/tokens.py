@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of text that a task handles at a time; a longer document makes a block of its own.
 BLOCK_BYTES = 1 << 20
@@ -66,6 +67,22 @@ def byte_sums(buf: np.ndarray, base: int = BASES[0]) -> np.ndarray:
     return prefix_sums(_BYTE_VALUE[buf], base)
 
 
+#: Places in a word whose values are looked up; those further on are computed.
+TABLED = 64
+_place_values: dict[int, np.ndarray] = {}
+
+
+def _place_value(place_and_byte: np.ndarray, seed: int) -> np.ndarray:
+    """64 bits for a byte at a place of a word, as good as random: place * 256 + byte."""
+    return mix(mix(place_and_byte.astype(np.uint64) * np.uint64(BASES[0]) + np.uint64(seed + 1)) ^ np.uint64(MIX[seed % 2]))
+
+
+def _place_table(seed: int) -> np.ndarray:
+    if seed not in _place_values:
+        _place_values[seed] = _place_value(np.arange(TABLED * 256), seed)
+    return _place_values[seed]
+
+
 def _word_table(separators: bytes | None) -> np.ndarray:
     table = np.ones(256, dtype=bool)
     if separators is not None:
@@ -93,15 +110,34 @@ class Block:
 
     def split(self) -> None:
         """Find the words: starts, ends, the document of each, and each document's first word."""
-        is_word = _word_table(self._separators)[self.buf]
+        self._in_word = is_word = _word_table(self._separators)[self.buf]
         edges = np.flatnonzero(np.diff(is_word.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
         self.start, self.end = edges[::2], edges[1::2]
         self.first = np.searchsorted(self.start, self.begins)
         self.n_words = np.searchsorted(self.start, self.ends) - self.first
         self.doc = np.repeat(np.arange(len(self.texts)), self.n_words)
 
-    def word_hashes(self) -> np.ndarray:
-        return mix(span_hash(byte_sums(self.buf), self.start, self.end, BASES[0]))
+    def word_hashes(self, seed: int = 0) -> np.ndarray:
+        """Tabulation hash of each word: every place of a word has a value of its own for every byte.
+
+        A polynomial modulo 2**64 would not do, for it is the same for a Thue-Morse string of
+        1024 bytes and its complement, whatever its base. Seeds 0 and 1 are independent.
+        """
+        n = len(self.buf)
+        place = np.arange(n, dtype=np.int32)
+        gaps = np.full(n, -1, dtype=np.int32)
+        outside = np.flatnonzero(~self._in_word)
+        gaps[outside] = outside
+        place -= np.maximum.accumulate(gaps) + np.int32(1)
+        at = (place << np.int32(8)) | self.buf
+        at[outside] = 0
+        far = np.flatnonzero(place >= TABLED)
+        at[far] = 0
+        values = _place_table(seed)[at]
+        values[far] = _place_value((place[far].astype(np.int64) << 8) | self.buf[far], seed)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(values, out=sums[1:])
+        return mix(sums[self.end] - sums[self.start])
 
     def windows(self, width: int) -> np.ndarray:
         """Index of the first word of every window of so many words of one document."""
@@ -135,6 +171,25 @@ def slices(batches: Iterable, rows: int = 512) -> Iterator:
             yield batch.slice(i, rows)
 
 
+def zipped(batches: Iterable) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) as (doc_id, size, zipped), for texts that have to cross the network; a text that does not shrink stays as it is."""
+    codec = pa.Codec("zstd", 1)
+    for batch in slices(batches):
+        texts = batch.column(1).to_pylist()
+        packed = [codec.compress(t, asbytes=True) for t in texts]
+        kept = [p if len(p) < len(t) else t for p, t in zip(packed, texts, strict=True)]
+        columns = [batch.column(0), pa.array(list(map(len, texts)), pa.int32()), pa.array(kept, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "size", "zipped"])
+
+
+ZIPPED = "doc_id long, size int, zipped binary"
+
+
+def unzipped(sizes: list[int], packed: list[bytes]) -> list[bytes]:
+    codec = pa.Codec("zstd")
+    return [p if len(p) == n else codec.decompress(p, n, asbytes=True) for n, p in zip(sizes, packed, strict=True)]
+
+
 def sorted_runs(keys: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins in a sorted array."""
     if not len(keys):

@@ -66,3 +66,32 @@ def test_text_longer_than_a_block(spark):
     docs = [(1, text), (2, "lead " + text[len(text) // 2 :])]
     got = {x.doc_id: (x.n_words, x.n_removed, x.n_spans, x.kept_sha256, x.kept_text) for x in remove_repeated_windows(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute(docs)
+
+
+def thue_morse(n):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_break_polynomial_hashes(spark):
+    """A Thue-Morse string of 1024 letters and its complement have one polynomial hash modulo 2**64, whatever its base."""
+    one, other = thue_morse(1024)
+    lead = " ".join(f"w{i}" for i in range(12))
+    docs = [(1, f"{lead} {one}"), (2, f"{lead} {other}"), (3, f"{lead} {one}")]
+    got = {x.doc_id: (x.n_words, x.n_removed, x.n_spans, x.kept_sha256, x.kept_text) for x in remove_repeated_windows(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+    assert [got[i][1] for i in (1, 2, 3)] == [0, 0, 13]
+
+
+def test_windows_that_differ_in_the_second_hash_alone(spark):
+    """Windows equal in the first hash and unlike in the second are unlike, in a task and in a bucket."""
+    import numpy as np
+
+    h, docs = np.array([7, 7, 7, 9], dtype=np.uint64), np.array([4, 5, 6, 4])
+    rows = list(substring_dedup._settle(h, np.array([1, 2, 1, 1], dtype=np.uint32), docs, 1))
+    late = [(r[2], r[4]) for r in rows if r[1]]
+    assert [np.frombuffer(x, dtype=np.uint64).tolist() for x, _ in late] == [[7]] and [np.frombuffer(d, dtype=np.int64).tolist() for _, d in late] == [[6]]
+    order, starts = substring_dedup._ordered(h, np.array([1, 2, 1, 1]))
+    assert [sorted(docs[order][i:j].tolist()) for i, j in zip(starts, [*starts[1:], 4])] == [[4, 6], [5], [4]]
