@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrank.llm.shared import only, written
+from sparkrank.llm.shared import join_hot, only, written
 from sparkrank.llm.tokens import MIX, WHITESPACE, mix
 
 #: A cut falls after a byte whose rolling hash ends in so many zero bits: chunks of 1 KB on average.
 CUT_BITS = 10
 #: A chunk without such a byte ends here.
 MOST_BYTES = 16_384
+#: A list of at most so many identifiers may go to every task, if very many documents share it: 25 MB for all that can be.
+HOT_CHUNKS = 512
 
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(MIX[0])).astype(np.uint32)
 
@@ -87,15 +89,18 @@ def dedup_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     with the most code points in its original text stays, then the smallest doc_id.
     """
     row = ["doc_id", "size", "text_sha256"]
-    rows = chunk_recipes(docs, doc_id, text).groupBy(*row).agg(F.count("*").alias("copies"), F.first("chunks").alias("chunks"))
+    # the one pass over the texts; all that follows reads the recipes
+    rows = written(chunk_recipes(docs, doc_id, text).groupBy(*row).agg(F.count("*").alias("copies"), F.first("chunks").alias("chunks")), "recipes")
     chunks = rows.select(*row, "copies", F.posexplode_outer("chunks").alias("place", "chunk")).select(*row, "copies", "place", "chunk.*")
     # the digests under one (hash, length) tell apart chunks that merely clash; what stands in one
     # place only gets no identifier, and its document is like no other
-    known = chunks.where("hash is not null").groupBy("hash", "length").agg(F.sum("copies").alias("uses"), F.sort_array(F.collect_set("digest")).alias("digests"))
-    known = known.where("uses > 1")
-    named = chunks.join(known, ["hash", "length"], "left").select(
-        *row, "copies", "place", F.when(F.col("uses").isNotNull(), F.struct("hash", "length", F.array_position("digests", F.col("digest")).alias("variant"))).alias("chunk_id"), F.col("hash").isNotNull().alias("real")
+    known = chunks.where("hash is not null").groupBy("hash", "length").agg(F.sum("copies").alias("uses"), F.count("*").alias("places"), F.sort_array(F.collect_set("digest")).alias("digests"))
+    known = written(known.where("uses > 1"), "chunks")
+    named = join_hot(chunks.where("hash is not null"), known, ["hash", "length"], "places").select(
+        *row, "copies", "place", F.when(F.col("uses").isNotNull(), F.struct("hash", "length", F.array_position("digests", F.col("digest")).alias("variant"))).alias("chunk_id"), F.lit(True).alias("real")
     )
+    # texts without chunks would meet under one null key
+    named = named.union(chunks.where("hash is null").select(*row, "copies", "place", F.lit(None).cast(named.schema["chunk_id"].dataType), F.lit(False)))
     listed = named.groupBy(*row).agg(
         F.first("copies").alias("copies"), F.count_if("real").alias("n_chunks"), F.count("chunk_id").alias("n_named"), F.sort_array(F.collect_list(F.when(F.col("real"), F.struct("place", "chunk_id")))).alias("recipe")
     )
@@ -104,11 +109,10 @@ def dedup_exact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     named_only = F.transform("recipe", lambda x: x["chunk_id"])
     alone = F.array(F.struct(F.xxhash64(*row).alias("hash"), F.lit(-1).alias("length"), F.lit(0).alias("variant")))
     unnamed = F.col("n_chunks") > F.col("n_named")
-    listed = listed.select(*row, "copies", "n_chunks", unnamed.alias("unnamed"), F.when(unnamed, alone).otherwise(named_only).alias("recipe"))
+    listed = written(listed.select(*row, "copies", "n_chunks", unnamed.alias("unnamed"), F.when(unnamed, alone).otherwise(named_only).alias("recipe")), "lists")
     best = F.min(F.struct((-F.col("size")).alias("shorter"), F.col("doc_id").isNull().alias("nameless"), "doc_id", "size"))
     groups = listed.where("not unnamed").groupBy("recipe").agg(F.sum("copies").alias("n"), F.count("*").alias("members"), best.alias("best")).where("members > 1")
-    # written down, the groups are a plain side of the join: a hot one can then be split
-    out = listed.join(written(groups, "groups"), "recipe", "left").select(
+    out = join_hot(listed, written(groups, "groups"), ["recipe"], "members", fits=F.size("recipe") <= HOT_CHUNKS).select(
         "doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"), F.coalesce("n", "copies").alias("group_size"),
         (F.col("n").isNull() | (F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.size") == F.col("size")))).alias("first"), "text_sha256", "n_chunks", "copies",
     )

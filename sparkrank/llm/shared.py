@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,11 +16,13 @@ _made: list[str] = []
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for one job, in the place that the cluster shares.
 
-    spark.checkpoint.dir names it; only where that is unset, as in local tests, a temporary
-    folder of this machine is taken and set.
+    spark.checkpoint.dir names it; only where that is unset and the master is local, as in
+    tests, a temporary folder of this machine is taken and set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -49,6 +51,28 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Keys with more than this part of all rows count as hot: fewer than so many can be.
+HOT_PARTS = 2048
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, least: int = 1000, fits: Column | None = None) -> DataFrame:
+    """left.join(right, keys, "left") that deals no key with many rows of left to one task.
+
+    right, written down, has one row per key; its column weight counts the rows of left under it.
+    The keys with over 1/HOT_PARTS of all rows, fewer than HOT_PARTS whatever the data's size, go
+    to every task; fits says which rows are small enough for that. The others are shuffled.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) > max(total / HOT_PARTS, least)
+    is_hot = F.coalesce(is_hot if fits is None else is_hot & fits, F.lit(False))
+    hot = right.where(is_hot)
+    if hot.isEmpty():
+        return left.join(right, keys, "left")
+    hot, names = F.broadcast(hot), F.broadcast(hot.select(*keys))
+    cold = left.join(names, keys, "left_anti").join(right.where(~is_hot), keys, "left")
+    return left.join(hot, keys).unionByName(cold)
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of UTF-8 in a text column, to size buckets by."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from sparkrank.llm import shared
 from sparkrank.llm.exact_dedup import MOST_BYTES, cut_points, dedup_exact
 
 
@@ -29,6 +30,16 @@ def test_matches_brute_force(spark):
     assert got(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == brute(docs)
 
 
+def test_hot_chunks_and_lists_go_to_every_task(spark, monkeypatch):
+    """The same rows come out when every repeated chunk and list counts as hot."""
+    monkeypatch.setattr(shared, "HOT_PARTS", 10**9)
+    monkeypatch.setattr(shared.join_hot, "__defaults__", (0, None))
+    r = random.Random(6)
+    long = "".join(chr(r.randint(33, 900)) for _ in range(9_000))
+    docs = [(i, "one two") for i in range(30)] + [(40, None), (41, ""), (42, long), (43, long + " "), (44, long[1:]), (44, long[1:]), (None, "onetwo"), (45, "alone")]
+    assert got(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == brute(docs)
+
+
 def test_empty_table_and_clashing_names(spark):
     assert got(spark.createDataFrame([], "doc_id long, text string")) == []
     frame = spark.createDataFrame([(1, "x", "r", 3)], "doc_id long, text string, recipe string, size int")
