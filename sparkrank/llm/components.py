@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrank.llm.shared import written
+from sparkrank.llm.shared import join_hot, written
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -24,9 +24,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = _fingerprint(edges)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("degree")), "least")
         # large star: every larger neighbour of a node goes to the least one around it
-        large = edges.select(F.col("b").alias("a"), F.col("a").alias("v")).join(least, "a").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = join_hot(edges.select(F.col("b").alias("a"), F.col("a").alias("v")), least, ["a"], "degree").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         # small star: every smaller neighbour, and the node itself, goes to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a != b").distinct()

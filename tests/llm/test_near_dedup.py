@@ -106,3 +106,55 @@ def test_long_texts(spark):
     docs = [(1, " ".join(words)), (2, " ".join(close)), (3, " ".join(far))]
     got = {x.doc_id: x.class_id for x in near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_words_that_break_polynomial_hashes(spark):
+    """Unlike texts whose words have one polynomial hash modulo 2**64 stay apart; other columns' names do not matter."""
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - b for b in bits]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    docs = [(1, one, 0), (2, other, 0), (3, one, 1), (4, f"p q r s {one}", 1), (5, f"p q r s {other}", 1)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, sketch int").selectExpr("*", "1 AS rep", "'x' AS words", "2 AS guest")
+    assert {r.doc_id: r.class_id for r in near_classes(frame).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+
+
+def test_recall_of_pairs_by_length_and_similarity(spark):
+    """Of pairs with a similarity of 0.8 to 0.95, short and long, at least 0.99 are found, and of unlike ones none."""
+    r = random.Random(12)
+    docs, similar, unlike = [], [], []
+    for k in range(300):
+        base = [f"w{r.randint(0, 10**6)}" for _ in range((9, 14, 30, 100, 400)[k % 5] + r.randint(0, 6))]
+        words = base[:]
+        target = r.uniform(0.7, 0.95)
+        while True:
+            new = words[:]
+            # edits at the ends cost one shingle, others five
+            if r.random() < 0.5 and len(new) > 12:
+                new[r.randrange(len(new))] = "x%d" % r.randint(0, 10**6)
+            else:
+                new.append("y%d" % r.randint(0, 10**6)) if r.random() < 0.5 else new.pop()
+            if similarity(shingles(" ".join(base)), shingles(" ".join(new))) < target:
+                break
+            words = new
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(words))]
+        (similar if similarity(shingles(docs[-2][1]), shingles(docs[-1][1])) >= 0.8 else unlike).append(k)
+    got = {x.doc_id: x.class_id for x in near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    found = sum(got[2 * k + 1] == 2 * k for k in similar) / len(similar)
+    assert len(similar) > 150 and len(unlike) > 5 and found >= 0.99, found
+    assert not any(got[2 * k + 1] == 2 * k for k in unlike)
+
+
+def test_hot_bucket_with_open_texts(spark, monkeypatch):
+    """A hot bucket's texts that are unlike its first one still meet all others, across blocks."""
+    monkeypatch.setattr(near_dedup.near_links, "__defaults__", (*near_dedup.near_links.__defaults__[:3], 4))
+    r = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(60):  # a chain: each text is like its neighbours only
+        base = base[4:] + [f"v{r.randint(0, 10**6)}" for _ in range(4)]
+        docs.append((i, " ".join(base)))
+    docs += [(100 + i, " ".join([*base[:-1], f"z{i}"])) for i in range(30)]
+    r.shuffle(docs)
+    got = {x.doc_id: x.class_id for x in near_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert got == brute(docs)
