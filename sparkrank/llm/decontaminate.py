@@ -11,9 +11,15 @@ signatures are computed for those windows alone; a bitmap over the items' shingl
 candidates are verified by exact containment: the share of the item's distinct shingles, as
 words, that the whole document holds.
 
+An item of few different shingles for its length, at most an eighth of its class's size (a word
+repeated a thousand times, a single shingle), would need very many hash functions. Such items are
+searched by the least hashes of their shingles, so many that a document that holds the item
+enough has one of them: no miss.
+
 One pass over the documents, no shuffle. The items travel to the tasks in blocks of at most
-BLOCK_ITEMS items and BLOCK_CHARS characters, a pass for each block, so what is broadcast has a
-bound whatever the benchmark's size.
+BLOCK_ITEMS items and BLOCK_CHARS characters, and tasks prepare them for the search; a benchmark
+of several blocks is a pass for each, whose result is written down before the next block is read.
+So the driver and what is broadcast have a bound whatever the benchmark's size.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased. An item of one
 to four words is a single shingle and is searched as such; items without words (null, empty)
@@ -31,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrank.llm.shared import only
+from sparkrank.llm.shared import only, written
 from sparkrank.llm.tokens import Block, blocks, mix, spread, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -39,6 +45,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 MISS = 1e-4
 #: What goes to the tasks at once.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000
+#: An item with at most 1/SPARSE of its class's size in different shingles is searched by listed shingles.
+SPARSE = 8
 #: Slots of the bitmap over the items' shingles: 2 MB packed in bytes.
 BITMAP = 1 << 21
 
@@ -77,22 +85,34 @@ class Items:
             self.widths.append(width)
             self.sets.append(_shingle_set(_words(block, i), width))
         self.bitmaps: dict[int, np.ndarray] = {}
-        self.classes = []
+        self.classes, self.listed = [], {}
         for (width, size), members in sorted(by_class.items()):
             bitmap = self.bitmaps.setdefault(width, np.zeros(BITMAP, dtype=bool))
+            for _, own in members:
+                bitmap[own % np.uint64(BITMAP)] = True
+            for i, own in members:
+                if SPARSE * len(own) <= size:
+                    enough = math.ceil(threshold * len(own) - 1e-9)
+                    keys = self.listed.setdefault(width, [])
+                    keys += [(h, i) for h in own[: len(own) - enough + 1].tolist()]
+            members = [(i, own) for i, own in members if SPARSE * len(own) > size]
+            if not members:
+                continue
             least = min(len(own) for _, own in members)
             # at least so similar are an item's shingles and those of a window that holds enough of them
             similarity = threshold * least / (2 * size + (1 - threshold) * least)
             n_hashes = math.ceil(math.log(MISS) / math.log(1 - similarity))
             seeds = mix(np.arange(1, n_hashes + 1, dtype=np.uint64) + np.uint64(size << 20))
-            mins = np.array([[int(mix(own ^ s).min()) for s in seeds] for _, own in members], dtype=np.uint64)
-            tables = []
-            for k in range(n_hashes):
-                order = np.argsort(mins[:, k], kind="stable")
-                tables.append((mins[order, k], np.array([members[i][0] for i in order], dtype=np.int64)))
-            for _, own in members:
-                bitmap[own % np.uint64(BITMAP)] = True
+            all_own, counts = np.concatenate([own for _, own in members]), np.array([len(own) for _, own in members])
+            places, tables = np.array([i for i, _ in members], dtype=np.int64), []
+            for seed in seeds:
+                mins = np.minimum.reduceat(mix(all_own ^ seed), np.cumsum(counts) - counts)
+                order = np.argsort(mins, kind="stable")
+                tables.append((mins[order], places[order]))
             self.classes.append((width, size, seeds, tables))
+        for width, keys in self.listed.items():
+            keys.sort()
+            self.listed[width] = np.array([h for h, _ in keys], dtype=np.uint64), np.array([i for _, i in keys], dtype=np.int64)
 
     def candidates(self, block: Block) -> set[tuple[int, int]]:
         """(document of the block, item) of each window and item with a minimum in common."""
@@ -105,6 +125,8 @@ class Items:
             hit = np.flatnonzero(bitmap[hashes % np.uint64(BITMAP)])
             if not len(hit):
                 continue
+            if width in self.listed:
+                self._listed(doc[hit], hashes[hit], *self.listed[width], found)
             place = at - block.first[doc]
             first = np.searchsorted(doc, np.arange(len(block.texts)))
             last = np.append(first[1:], len(doc))
@@ -121,6 +143,16 @@ class Items:
                     self._match(hashes, owner[k : k + 4096], begin[k : k + 4096], count[k : k + 4096], seeds, tables, found)
         return found
 
+    @staticmethod
+    def _listed(doc, hashes, values, items, found) -> None:
+        order = np.lexsort((hashes, doc))
+        doc, hashes = doc[order], hashes[order]
+        fresh = np.concatenate(([True], (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])))
+        doc, hashes = doc[fresh], hashes[fresh]
+        low, high = np.searchsorted(values, hashes, "left"), np.searchsorted(values, hashes, "right")
+        which = spread(low, high - low)
+        found.update(zip(np.repeat(doc, high - low).tolist(), items[which].tolist(), strict=True))
+
     @staticmethod
     def _match(hashes, owner, begin, count, seeds, tables, found) -> None:
         own = hashes[spread(begin, count)]
@@ -149,8 +181,9 @@ class Items:
                 yield doc, item, common
 
 
-def _search(items: Items):
+def _search(item_ids: list, item_texts: list[str], threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(item_ids, item_texts, threshold)
         for batch in batches:
             for ids, texts in blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = [(ids[d], items.ids[i], c, len(items.sets[i])) for d, i, c in items.search(texts)]
@@ -170,7 +203,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
     n_blocks = max(1, math.ceil(2 * size["n"] / BLOCK_ITEMS), math.ceil(2 * size["chars"] / BLOCK_CHARS))
     for k in range(n_blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
-        found = own.mapInArrow(_search(Items([r["item_id"] for r in part], [r["text"] for r in part], threshold)), "doc_id long, item_id long, n_common long, n_shingles long")
+        found = own.mapInArrow(_search([r["item_id"] for r in part], [r["text"] for r in part], threshold), "doc_id long, item_id long, n_common long, n_shingles long")
+        if n_blocks > 1:
+            found = written(found, "contamination")
         out = found if out is None else out.union(found)
     return out.select("*", (F.col("n_common") / F.col("n_shingles")).alias("containment"))
 

@@ -57,3 +57,19 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b", 3)], "doc_id long, text string, item_id int"), spark.createDataFrame([], "item_id long, text string")
     assert find_contamination(docs, items).count() == 0 and drop_contaminated(docs, items).count() == 1
     assert find_contamination(docs.where("false"), spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+
+
+def test_degenerate_items_collisions_and_long_texts(spark):
+    """Items of few different shingles need no more hash functions; unlike words of one polynomial hash stay apart."""
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - b for b in bits]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    r = random.Random(4)
+    long = [f"w{r.randint(0, 10**6)}" for _ in range(250_000)]
+    turns = " ".join(["a b c"] * 200)
+    items = [(1, "a " * 1000), (2, turns), (3, one), (4, f"p q r s {one}"), (5, " ".join(long[200_000:200_030])), (6, " ".join(["x"] * 40 + long[:10]))]
+    docs = [(1, "b " + "a " * 5 + "b"), (2, "a " * 4), (3, "c a b c a b c a"), (4, other + f" p q r s {other}"), (5, f"z {one} z"), (6, " ".join(long)), (7, items[5][1]), (8, "a " * 3000)]
+    assert max(len(seeds) for *_, seeds, _ in decontaminate.Items([i for i, _ in items], [t for _, t in items], 0.8).classes) < 200
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(((x.doc_id, x.item_id, x.n_common, x.n_shingles) for x in find_contamination(frame, bench).collect()), key=repr) == brute(docs, items)
