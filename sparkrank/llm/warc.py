@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkrank.llm.shared import only, shared_folder, written
+from sparkrank.llm.shared import join_hot, only, shared_folder, written
 
 #: Payloads under so many bytes are never revisits.
 SMALLEST = 100
@@ -35,6 +35,8 @@ SMALLEST = 100
 ARCHIVE_BYTES = 1 << 30
 #: Records with so small a gap between them are read with one request, of this size at most if of several records.
 GAP_BYTES, READ_BYTES = 1 << 16, 1 << 23
+#: So many revisits, some 30 MB, may go to every task; more are dealt to the pages' payloads by a shuffle.
+BROADCAST_REVISITS = 250_000
 #: Date and profile of the records.
 DATE, PROFILE = "2000-01-01T00:00:00Z", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -84,26 +86,28 @@ def _write(folder: str):
         system, root = fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
         name, out, offset = "", None, 0
-        for batch in batches:
-            rows = []
-            for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if out is None or offset > ARCHIVE_BYTES:
-                    if out is not None:
-                        out.close()
-                    name, offset = f"{uuid.uuid4().hex}.warc.gz", 0
-                    out = system.open_output_stream(f"{root}/{name}", compression=None)
-                data = _zipped(record(page_id, url, payload, digest, refers_to))
-                out.write(data)
-                rows.append((f"{folder}/{name}", offset, len(data), page_id, url, digest))
-                offset += len(data)
-            # the rows of an archive count once its bytes are in place
+        try:
+            for batch in batches:
+                rows = []
+                for page_id, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if out is None or offset > ARCHIVE_BYTES:
+                        if out is not None:
+                            out.close()
+                        name, offset = f"{uuid.uuid4().hex}.warc.gz", 0
+                        out = system.open_output_stream(f"{root}/{name}", compression=None)
+                    data = _zipped(record(page_id, url, payload, digest, refers_to))
+                    out.write(data)
+                    rows.append((f"{folder}/{name}", offset, len(data), page_id, url, digest))
+                    offset += len(data)
+                # the rows of an archive count once its bytes are in place
+                if out is not None:
+                    out.flush()
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                columns = list(zip(*rows, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["archive", "offset", "length", "page_id", "url", "digest"])
+        finally:
             if out is not None:
-                out.flush()
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["archive", "offset", "length", "page_id", "url", "digest"])
-        if out is not None:
-            out.close()
+                out.close()
 
     return run
 
@@ -115,34 +119,41 @@ def write_warc(pages: DataFrame, folder: str | None = None, page_id: str = "page
     own = own.select("page_id", "url", "payload", F.sha2("payload", 256).alias("digest"))
     # whose payload a smaller page_id has too; ids and digests only, so that no payload moves for it
     light = own.where((F.octet_length("payload") >= SMALLEST) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    first = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").drop("last")
-    revisits = light.join(first, "digest").where("page_id > refers_to").distinct()
+    first = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"), F.count("*").alias("n")).where("refers_to < last").drop("last")
+    revisits = join_hot(light, written(first, "payloads"), ["digest"], "n").where("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    revisits = written(revisits, "revisits")
+    if revisits.count() <= BROADCAST_REVISITS:
+        revisits = F.broadcast(revisits)
     typed = own.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
     return written(typed.mapInArrow(_write(folder), INDEX), "warc-index")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    files: dict[str, object] = {}
-    for batch in batches:
-        rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        at = 0
-        while at < len(rows):
-            archive, begin, length = rows[at]
-            end, stop = begin + length, at + 1
-            while stop < len(rows) and rows[stop][0] == archive and rows[stop][1] - end <= GAP_BYTES and rows[stop][1] + rows[stop][2] - begin <= READ_BYTES:
-                end = rows[stop][1] + rows[stop][2]
-                stop += 1
-            if archive not in files:
-                for f in files.values():
-                    f.close()
-                system, path = fs.FileSystem.from_uri(archive)
-                files = {archive: system.open_input_file(path)}
-            data = files[archive].read_at(end - begin, begin)
-            found = [parse(zlib.decompress(data[o - begin : o - begin + n], 31)) for _, o, n in rows[at:stop]]
-            names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], k) for n, k in zip(names, kinds, strict=True)], names=names)
-            at = stop
+    opened, file = None, None
+    try:
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            at = 0
+            while at < len(rows):
+                archive, begin, length = rows[at]
+                end, stop = begin + length, at + 1
+                while stop < len(rows) and rows[stop][0] == archive and rows[stop][1] - end <= GAP_BYTES and rows[stop][1] + rows[stop][2] - begin <= READ_BYTES:
+                    end = rows[stop][1] + rows[stop][2]
+                    stop += 1
+                if archive != opened:
+                    if file is not None:
+                        file.close()
+                    system, path = fs.FileSystem.from_uri(archive)
+                    opened, file = archive, system.open_input_file(path)
+                data = file.read_at(end - begin, begin)
+                found = [parse(zlib.decompress(data[o - begin : o - begin + n], 31)) for _, o, n in rows[at:stop]]
+                names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in found], k) for n, k in zip(names, kinds, strict=True)], names=names)
+                at = stop
+    finally:
+        if file is not None:
+            file.close()
 
 
 def read_warc(index: DataFrame) -> DataFrame:

@@ -47,6 +47,16 @@ def test_small_archives_and_requests(spark, monkeypatch):
     assert read_warc(index).count() == len(rows)
 
 
+def test_long_payload_clashing_names_and_shuffled_revisits(spark, monkeypatch):
+    """Revisits too many to send to every task give the same records; extra columns may have any name."""
+    rows = [(1, "u", "é" * 3_000_000), (2, "u", "é" * 3_000_000), (3, "u", "z" * 150), (4, None, "z" * 150), (4, None, "z" * 150)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'d' AS digest", "7 AS payload", "1 AS refers_to", "2 AS n")
+    for most in (250_000, 0):
+        monkeypatch.setattr(warc, "BROADCAST_REVISITS", most)
+        got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in read_warc(write_warc(frame)).collect()), key=repr)
+        assert got == brute(rows)
+
+
 def test_empty(spark):
     index = write_warc(spark.createDataFrame([], "page_id long, url string, html string"))
     assert index.count() == 0 and read_warc(index).count() == 0
