@@ -23,15 +23,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkrank.llm.near_dedup import SHINGLE, THRESHOLD, aligned, labelled, order_min_hashes, shingles
 from sparkrank.llm.shared import only
 from sparkrank.llm.tokens import BASES, Block, blocks, byte_sums, mix, span_hash
 
-#: The bound of the training sample: so many labelled documents of each kind, those with the least hashes of their ids.
-TRAIN_DOCS = 1500
+#: The bound of the training sample: so many labelled documents of each kind, those with the least hashes of their ids
+#: after copies and near copies have gone, found among CANDIDATES times as many and among SAMPLE_BYTES of text of each
+#: kind; a text over MOST_BYTES is scored like any other but not learned from.
+TRAIN_DOCS, CANDIDATES, SAMPLE_BYTES, MOST_BYTES = 1500, 2, 12_000_000, 1_000_000
+#: Digits of a score. A score's last bits depend on the documents that it is computed along with.
+DIGITS = 9
 #: Slots of the hashed feature weights, and the lengths in bytes of the beginnings and endings of a word that are features.
 SLOTS, HEADS, TAILS = 1 << 18, (4, 5, 6, 7, 8, 9, 10), (4,)
 #: A feature labels tokens from so many standard deviations and so much difference of logarithms on, in so many toxic documents.
@@ -46,6 +50,12 @@ COLUMNS = 256
 SPAN_PROBABILITY = 0.5
 
 
+def lowered(text: str) -> str:
+    """Lower case, character by character where the whole would be longer, so that offsets are those of the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x) == 1 else c for c, x in ((c, c.lower()) for c in text))
+
+
 def features(block: Block) -> np.ndarray:
     """Slots of each word's features: the word, its beginnings, its endings (the whole word if it is shorter)."""
     sums = byte_sums(block.buf)
@@ -124,7 +134,7 @@ class Model:
         return both / (1 + both)
 
     def score(self, total: np.ndarray, most: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(_summary(total, most, n_words) @ self.curve, -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip(_summary(total, most, n_words) @ self.curve, -30, 30))), DIGITS)
 
 
 def _summary(total: np.ndarray, most: np.ndarray, n_words: np.ndarray) -> np.ndarray:
@@ -184,7 +194,7 @@ def unlike(texts: list[str]) -> list[int]:
 
 def _sample_blocks(texts: list[str]) -> Iterator[tuple[list[int], Block]]:
     """The sample in blocks, as in scoring, so that the driver holds hashes of one block at a time."""
-    for ids, part in blocks(list(range(len(texts))), [t.lower().encode() for t in texts]):
+    for ids, part in blocks(list(range(len(texts))), [lowered(t).encode() for t in texts]):
         block = Block(part, separators=None)
         block.split()
         yield ids, block
@@ -200,9 +210,10 @@ def _sample_arrays(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.concatenate(slots, axis=1), np.concatenate(first), np.concatenate(doc)
 
 
-def train(texts: list[str], toxic: list[bool]) -> Model:
-    """Fit the chain on a part of a sample of labelled documents, and the document curve on the rest."""
+def train(texts: list[str], toxic: list[bool], most: int = TRAIN_DOCS) -> Model:
+    """Fit the chain on a part of a sample of labelled documents, the first `most` of each kind that are unlike, and the document curve on the rest."""
     apart = unlike(texts)
+    apart = sorted(i for kind in (True, False) for i in [i for i in apart if bool(toxic[i]) == kind][:most])
     texts, toxic = [texts[i] for i in apart], [toxic[i] for i in apart]
     for_curve = [i % CURVE_EVERY == 0 for i in range(len(texts))]
     for kind in (True, False):
@@ -264,22 +275,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = TRAIN_DOCS, doc_id: st
     known = known.where(in_training_fold(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = only(docs, doc_id=doc_id, text=text)
     known = known.select("doc_id", (F.col("toxic") > 0).alias("toxic"), F.xxhash64("doc_id").alias("place"))
-    picked = [r for kind in ("toxic", "not toxic") for r in known.where(kind).orderBy("place", "doc_id").limit(sample).collect()]
+    picked = [r for kind in ("toxic", "not toxic") for r in known.where(kind).orderBy("place", "doc_id").limit(CANDIDATES * sample).collect()]
     if not picked:
         return None
-    chosen = F.broadcast(spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in picked], "doc_id long, toxic boolean"))
-    rows = own.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).where("text is not null")
+    chosen = F.broadcast(spark.createDataFrame([(r["doc_id"], r["toxic"], r["place"]) for r in picked], "doc_id long, toxic boolean, place long"))
+    rows = own.where(F.octet_length("text") <= MOST_BYTES).join(chosen, "doc_id").groupBy("place", "doc_id", "toxic").agg(F.min("text").alias("text"))
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy("place", "doc_id"))
+    rows = rows.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_BYTES).drop("upto")
     # the sample, bounded as it is, meets in one task; the driver gets the parameters alone
-    fitted = rows.coalesce(1).mapInArrow(_train_task, "model binary").collect()
+    fitted = rows.coalesce(1).mapInArrow(_train_task(sample), "model binary").collect()
     return Model(*pickle.loads(fitted[0]["model"])) if fitted else None
 
 
-def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-    toxic = [t for _, t, _ in rows]
-    if any(toxic) and not all(toxic):
-        m = train([text for *_, text in rows], toxic)
-        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps((m.weights, m.bias, m.chain, m.start, m.curve))]})
+def _train_task(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        toxic = [row[2] for row in rows]
+        if any(toxic) and not all(toxic):
+            m = train([text for *_, text in rows], toxic, most)
+            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps((m.weights, m.bias, m.chain, m.start, m.curve))]})
+
+    return run
 
 
 _OUT = "doc_id long, score double, n_toxic double, spans array<struct<start: int, end: int, probability: double>>"
@@ -291,7 +307,7 @@ def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                block = Block([t.lower().encode() for t in texts], separators=None)
+                block = Block([lowered(t).encode() for t in texts], separators=None)
                 block.split()
                 p = model.marginals(features(block), _firsts(block))
                 total, most = _per_document(block, p)
@@ -302,7 +318,6 @@ def _score(model: Model):
                     a, b = int(hot[i]), int(hot[j - 1])
                     d = int(block.doc[a])
                     base = int(block.begins[d])
-                    # offsets in characters of the lower-cased text
                     lead, own = bytes(block.buf[base : block.start[a]]).decode(), bytes(block.buf[block.start[a] : block.end[b]]).decode()
                     spans[d].append({"start": len(lead), "end": len(lead) + len(own), "probability": float(p[a : b + 1].max())})
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(model.score(total, most, block.n_words), pa.float64()), pa.array(total, pa.float64()), pa.array(spans, pa.list_(span))], names=["doc_id", "score", "n_toxic", "spans"])
@@ -311,7 +326,10 @@ def _score(model: Model):
 
 
 def score_documents(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, score, n_toxic (expected toxic words), spans (start, end, probability)."""
+    """One row per row of docs: doc_id, score, n_toxic (expected toxic words), spans (start, end, probability).
+
+    start and end count characters of the text.
+    """
     own = only(docs, doc_id=doc_id, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     if model is None:
         return own.select("doc_id", F.lit(0.0).alias("score"), F.lit(0.0).alias("n_toxic"), F.array().cast("array<struct<start: int, end: int, probability: double>>").alias("spans"))

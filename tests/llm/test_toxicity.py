@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 
-from sparkrank.llm.toxicity import TRAIN_DOCS, Model, _scan, fit, in_training_fold, score_documents, train, unlike
+from sparkrank.llm import toxicity
+from sparkrank.llm.tokens import Block
+from sparkrank.llm.toxicity import TRAIN_DOCS, Model, _scan, features, fit, in_training_fold, lowered, score_documents, train, unlike
 
 
 def brute_marginals(odds, first, chain, start):
@@ -72,6 +74,39 @@ def test_edge_rows(spark):
     assert all(r.score == 0 and r.spans == [] for r in score_documents(frame, None).collect())
 
 
+def test_offsets_after_letters_that_grow_and_score_by_hand(spark):
+    """Spans are cut from the text itself; a score is the curve of word-by-word marginals, whatever stands beside it."""
+    docs, labels = corpus(300)
+    model = train([t for _, t in docs], [bool(y) for _, y in labels])
+    text = "İİİ ẞ İ " + docs[1][1] + " İ IDIOT scum İdiot"
+    frame = spark.createDataFrame([(1, text), *((10 + i, t) for i, (_, t) in enumerate(docs))], "doc_id long, text string")
+    one = {r.doc_id: r for r in score_documents(frame.coalesce(1), model).collect()}
+    many = {r.doc_id: r for r in score_documents(frame.repartition(50), model).collect()}
+    assert {i: r.score for i, r in one.items()} == {i: r.score for i, r in many.items()}
+    assert "IDIOT scum" in [text[s.start : s.end] for s in one[1].spans]
+    block = Block([lowered(text).encode()], separators=None)
+    block.split()
+    odds = np.exp(np.clip(model.weights[features(block)].sum(axis=0, dtype=np.float64) + model.bias, -30, 30))
+    p = brute_marginals(odds, np.arange(len(odds)) == 0, np.exp(model.chain), float(np.exp(model.start)))
+    x = np.array([1, np.log(p.sum() + 1e-2), np.log((p.sum() + 1e-2) / (len(p) + 20)), p.max()])
+    assert abs(one[1].score - 1 / (1 + np.exp(-np.clip(x @ model.curve, -30, 30)))) < 1e-8
+
+
+def test_sample_is_refilled_and_bounded(spark, monkeypatch):
+    """Copies leave room for others; the sample ends at its bytes; long texts are not learned from."""
+    seen = []
+    monkeypatch.setattr(toxicity, "_train_chain", lambda texts, truth: seen.append((len(texts), int(truth.sum()))) or Model(np.zeros(toxicity.SLOTS, dtype=np.float32), 0.0, np.zeros((2, 2)), 0.0, np.zeros(4)))
+    docs, labels = corpus(60)
+    texts = [docs[0][1]] * 20 + [t for _, t in docs]
+    train(texts, [False] * 20 + [bool(y) for _, y in labels], 10)
+    assert seen[0][0] == 13  # ten of each kind, but for the third that the curve keeps
+    rows = [(i, t) for i, t in docs] + [(1000 + i, "word " * 400_000) for i in range(5)]
+    known = spark.createDataFrame([*labels, *((1000 + i, 1) for i in range(5))], "doc_id long, toxic int")
+    monkeypatch.undo()
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 4_000)
+    assert isinstance(fit(spark.createDataFrame(rows, "doc_id long, text string"), known), Model)
+
+
 def test_no_labels(spark):
     frame = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     assert fit(frame, spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")) is None
