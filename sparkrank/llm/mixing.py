@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkrank.llm.shared import written
+from sparkrank.llm.shared import join_hot, written
 
 #: Hexadecimal digits of the seeded order that name a slice: 4096 slices of a leaf.
 SLICE_DIGITS = 3
@@ -63,7 +63,7 @@ def allocate(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
 
 
 def plan_budgets(leaves: DataFrame, weights: dict[tuple[str, ...], int], budget: int, max_epochs: int) -> DataFrame:
-    """leaves: domain, lang, source, tokens. Returns domain, lang, source, tokens, given."""
+    """leaves: domain, lang, source, tokens, rows. Returns domain, lang, source, tokens, rows, given."""
     drawn = F.lit(True)
     for depth in range(1, len(LEVELS) + 1):
         drawn = drawn & (_weight(LEVELS[:depth], weights) > 0)
@@ -78,7 +78,7 @@ def plan_budgets(leaves: DataFrame, weights: dict[tuple[str, ...], int], budget:
         else:
             nodes = nodes.join(given.withColumnRenamed("given", "budget"), parent)
         given = allocate(nodes, parent, levels[-1])
-    return leaves.join(given, list(LEVELS)).select(*LEVELS, "tokens", "given")
+    return leaves.join(given, list(LEVELS)).select(*LEVELS, "tokens", "rows", "given")
 
 
 def mix_sources(
@@ -93,14 +93,14 @@ def mix_sources(
         F.col(f"`{doc_id}`").alias("doc_id"), named(domain).alias("domain"), named(F.col(f"`{lang}`")).alias("lang"), named(F.col(f"`{source}`")).alias("source"), count_tokens(F.col(f"`{text}`")).alias("n_tokens")
     )
     own = written(own, "tokens")  # a few bytes a row: the texts are read once
-    leaves = own.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
+    leaves = own.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
     if budget is None:
         budget = int((leaves.agg(F.sum("tokens")).first()[0] or 0) * share)
     # a leaf without tokens is read once, for it costs nothing
     plan = plan_budgets(leaves, weights, budget, max_epochs)
     epochs = F.when(F.col("tokens") > 0, F.expr("given div tokens")).otherwise(F.lit(1))
-    plan = plan.select(*LEVELS, epochs.alias("epochs"), (F.col("given") - F.when(F.col("tokens") > 0, F.expr("given div tokens")).otherwise(F.lit(0)) * F.col("tokens")).alias("rest"))
-    own = own.join(plan, list(LEVELS))
+    plan = plan.select(*LEVELS, "rows", epochs.alias("epochs"), (F.col("given") - F.when(F.col("tokens") > 0, F.expr("given div tokens")).otherwise(F.lit(0)) * F.col("tokens")).alias("rest"))
+    own = join_hot(own, written(plan, "plan"), list(LEVELS), "rows").where("epochs is not null").drop("rows")
     whole = own.where("epochs > 0").select("doc_id", *LEVELS, "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)).alias("epoch"))
     place = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("epochs"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     part = own.where("rest > 0").withColumn("place", place).withColumn("slice", F.substring("place", 1, SLICE_DIGITS))
