@@ -106,7 +106,8 @@ QUERIES = {
 _MIX_SQL = r"""
     WITH d AS (SELECT doc_id, CASE WHEN source = 'src0' THEN 'crawl' WHEN length(source) = 4 THEN 'web' ELSE 'curated' END AS domain, coalesce(lang, '') AS lang,
                       coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
-    leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::BIGINT * 2 AS cap FROM d GROUP BY ALL),
+    -- a leaf of weight 0 holds nothing that may be drawn
+    leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::BIGINT * 2 AS cap FROM d WHERE source <> 'src19' GROUP BY ALL),
     -- a child whose share of the budget exceeds what it holds is full; the others share the rest
     n1 AS (SELECT domain, sum(cap)::BIGINT AS cap, CASE domain WHEN 'crawl' THEN 2 WHEN 'web' THEN 3 ELSE 5 END AS w,
                   least((SELECT (sum(n_tokens) * 0.75::DOUBLE)::DOUBLE FROM d), (SELECT sum(cap) FROM leaf))::DOUBLE AS b0 FROM leaf GROUP BY domain),

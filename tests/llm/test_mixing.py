@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sparkrank.llm.mixing import mix_sources
+from sparkrank.llm.mixing import mix_sources, plan_budgets
 
 
 def fill(children, budget):
@@ -25,7 +25,8 @@ def brute(docs, weight, budget, epochs, seed):
     leaves = {}
     for i, text, lang, source in docs:
         leaves.setdefault((source[:1], lang or "", source), []).append((i, len((text or "").split())))
-    cap = {k: epochs * sum(n for _, n in v) for k, v in leaves.items()}
+    # what a leaf may give: nothing, if it or a node above it has weight 0
+    cap = {k: epochs * sum(n for _, n in v) if all(weight(k[:depth]) > 0 for depth in (1, 2, 3)) else 0 for k, v in leaves.items()}
 
     def walk(prefix, budget):
         if len(prefix) == 3:
@@ -66,6 +67,20 @@ def test_matches_brute_force(spark):
         assert got == brute(docs, weight, budget, 2, 3), budget
 
 
+def test_shortages_at_every_level_lose_no_budget(spark):
+    """What is given equals the budget or all that may be drawn, but for one token a division."""
+    docs = [(i, " ".join("x" * n), lang, source) for i, (n, lang, source) in enumerate([(100, "x", "A1"), (10, "x", "A2"), (100, "x", "B1"), (40, "y", "B1"), (3, "z", "B2")])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    weights = {("*", "*", "A1"): 0, ("B", "y"): 0}
+    for budget in (20, 100, 113, 500):
+        plan = plan_budgets(frame.select(F.substring("source", 1, 1).alias("domain"), "lang", "source", F.size(F.split("text", " ")).cast("long").alias("tokens"), F.lit(1).alias("rows")), weights, budget, 1)
+        given = {r.source + r.lang: r.given for r in plan.collect()}
+        assert given.keys() == {"A2x", "B1x", "B2z"}
+        assert min(budget, 113) - 2 <= sum(given.values()) <= min(budget, 113), given
+        if budget >= 100:
+            assert given["A2x"] == 10 and given["B1x"] >= budget - 10 - 3 - 2 - (budget - 113 if budget > 113 else 0)
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "doc_id long, text string, lang string, source string, tokens int")
     assert mix_sources(frame, F.lit("d"), {}, share=0.5).count() == 0
