@@ -2,12 +2,17 @@
 
 Level 1 holds the listed keys. Level 2 holds the keys of the corpus that level 1 takes in
 wrongly, level 3 the listed keys that level 2 takes in, and so on until a level takes in
-nothing wrongly. Over the keys the cascade was built for, it is exact, and a query is a few bit
-tests in one expression: no join, no shuffle.
+nothing wrongly. Level 1's rate of false positives is the list's share of the corpus's keys, so
+level 2 has about as many keys as the list, however large the corpus is, and level 1 grows with
+the logarithm of the corpus. Over the keys the cascade was built for, it is exact, and a query is
+a few bit tests in one expression: no join, no shuffle.
 
 A rule is a host and a path prefix; a url's keys are its host's suffixes with its path's
 prefixes of those lengths that some rule has.
 
+A list of more than MOST_RULES rules, too long to stand in a query's plan, is joined with the
+corpus's distinct urls instead: the same verdicts, by a shuffle.
+
 Nulls and urls without "://" have an empty host and path and fit no rule. Duplicate rules count
 once; a rule listed as both allow and block is refused.
 """
@@ -20,10 +25,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkrank.llm.shared import written
+from sparkrank.llm.shared import join_hot, written
 
-#: Most listed rules: they and the filters, of about the same size, stand in the query's plan.
+#: Most listed rules whose filters, of a few bytes a rule, stand in the query's plan.
 MOST_RULES = 100_000
+#: Most hash functions of a filter.
+MOST_HASHES = 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,7 +58,7 @@ def _bit(place: Column) -> Column:
 def build_bloom(keys: DataFrame, n: int, rate: float, level: int) -> Bloom:
     """A filter over the column `key` of keys, n of them, with so high a rate of false positives at most."""
     bits = max(64, 64 * math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64))
-    n_hashes = min(8, max(1, round(bits / n * math.log(2))))
+    n_hashes = min(MOST_HASHES, max(1, round(bits / n * math.log(2))))
     seeds = tuple(1000 * level + i for i in range(n_hashes))
     places = keys.select(F.explode(F.array(*[F.pmod(F.xxhash64("key", F.lit(s)), F.lit(bits)) for s in seeds])).alias("place"))
     rows = places.groupBy(F.shiftright("place", 6).cast("int").alias("word")).agg(F.bit_or(_bit(F.col("place"))).alias("bits")).collect()
@@ -73,13 +80,14 @@ class Cascade:
         return out
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, n_listed: int) -> Cascade:
-    """listed, universe: DataFrames with a column key; n_listed: how many distinct listed keys there are.
+def build_cascade(listed: DataFrame, universe: DataFrame, n_listed: int, n_universe: int) -> Cascade:
+    """listed, universe: DataFrames with a column key; how many distinct keys each has, the universe about.
 
     The universe is scanned once: what level 1 lets through is written down and is about as
     large as the list; the levels after that look at it alone.
     """
-    levels = [build_bloom(listed, n_listed, 0.01, 1)]
+    rate = min(0.5, max(2.0**-MOST_HASHES, math.sqrt(0.5) * n_listed / max(n_universe, 1)))
+    levels = [build_bloom(listed, n_listed, rate, 1)]
     wrong = universe.where(levels[0].contains(F.col("key"))).distinct().join(listed, "key", "left_anti")
     sides = [listed, written(wrong, "bloom")]
     while True:
@@ -90,7 +98,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, n_listed: int) -> Casc
         n = inside.count()
         if not n:
             return Cascade(tuple(levels))
-        levels.append(build_bloom(inside, n, 0.3, len(levels) + 1))
+        levels.append(build_bloom(inside, n, 0.5, len(levels) + 1))
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -111,6 +119,20 @@ def url_keys(host: Column, path: Column, lengths: list[int], labels: int) -> Col
     return F.when(host != "", F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p)))))
 
 
+def _filter_by_join(own: DataFrame, verdicts: dict[str, str], lengths: list[int], labels: int, otherwise: str) -> DataFrame:
+    """As filter_urls, for lists of any length: the keys of distinct (host, path) meet the rules in a join."""
+    rules = own.sparkSession.createDataFrame(list(verdicts.items()), "key string, verdict string")
+    places = written(own.groupBy("host", "path").agg(F.count("*").alias("pages")), "places")
+    keys = places.select("host", "path", F.explode(url_keys(F.col("host"), F.col("path"), lengths, labels)).alias("key"))
+    met = written(keys.groupBy("key").agg(F.count("*").alias("places")).join(rules, "key"), "rules")
+    hit = join_hot(keys, met, ["key"], "places").where("verdict is not null")
+    best = hit.groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("length"), F.col("key").alias("rule"), "verdict")).alias("best"))
+    judged = written(places.join(best, ["host", "path"]), "judged")
+    return join_hot(own, judged, ["host", "path"], "pages").select(
+        "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict")
+    )
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: str = "page_id", url: str = "url", otherwise: str = "allow") -> DataFrame:
     """Judge every url by the longest rule that fits it.
 
@@ -122,19 +144,20 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], page_id: st
     for verdict, host, path in rules:
         if verdict not in ("allow", "block") or verdicts.setdefault(host + path, verdict) != verdict:
             raise ValueError(f"rule {host}{path}: {verdict}")
-    if len(verdicts) > MOST_RULES:
-        raise ValueError(f"{len(verdicts)} rules; the plan holds {MOST_RULES} at most")
     h, p = split_url(F.col("url"))
     own = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url")).select("page_id", h.alias("host"), p.alias("path"))
     lengths, labels = sorted({len(p) for _, _, p in rules}), max([h.count(".") + 1 for _, h, _ in rules], default=1)
+    if len(verdicts) > MOST_RULES:
+        return _filter_by_join(own, verdicts, lengths, labels, otherwise)
     keyed = own.select("page_id", "host", "path", url_keys(F.col("host"), F.col("path"), lengths, labels).alias("keys"))
     universe = keyed.select(F.explode("keys").alias("key"))
+    n_universe = universe.agg(F.approx_count_distinct("key")).first()[0] if verdicts else 0
     fits = {}
     for verdict in ("allow", "block"):
         keys = [k for k, v in verdicts.items() if v == verdict]
         if keys:
             listed = spark.createDataFrame([(k,) for k in keys], "key string")
-            fits[verdict] = build_cascade(listed, universe, len(keys))
+            fits[verdict] = build_cascade(listed, universe, len(keys), n_universe)
     if not fits:
         return own.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(otherwise).alias("verdict"))
     judged = F.transform(

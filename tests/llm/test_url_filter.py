@@ -2,6 +2,7 @@ import re
 
 import pytest
 
+from sparkrank.llm import url_filter
 from sparkrank.llm.queries import URL_RULES
 from sparkrank.llm.url_filter import build_cascade, filter_urls
 
@@ -34,7 +35,28 @@ def test_cascade_is_exact(spark):
     keys = spark.range(5000).selectExpr("concat('k', id) AS key")
     listed = keys.where("xxhash64(key) % 7 = 0")
     n = listed.count()
-    cascade = build_cascade(listed, keys, n)
+    cascade = build_cascade(listed, keys, n, 5000)
     assert len(cascade.levels) > 1
     inside = keys.where(cascade.contains(keys.key))
     assert inside.count() == n and inside.join(listed, "key", "left_anti").count() == 0
+
+
+def test_levels_do_not_grow_with_the_universe(spark):
+    """With 200 listed keys the second level stays of the list's order while the universe grows tenfold."""
+    sizes = []
+    for n in (20_000, 200_000):
+        keys = spark.range(n).selectExpr("concat('k', id) AS key")
+        listed = keys.where("key in ({})".format(",".join(f"'k{i * 97}'" for i in range(200))))
+        cascade = build_cascade(listed, keys, 200, n)
+        assert keys.where(cascade.contains(keys.key)).count() == 200
+        sizes.append([len(b.words) for b in cascade.levels])
+    assert all(sum(s[1:]) < 40 for s in sizes) and sizes[1][0] < 2 * sizes[0][0], sizes
+
+
+def test_rules_beyond_the_plan_and_very_long_urls(spark, monkeypatch):
+    urls = [*URLS, "http://" + "a." * 3000 + "net/fr/" + "x" * 100_000, "http://a.net/es/" + "y/" * 20_000] * 2
+    frame = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, rule int")
+    want = {i: brute(u, URL_RULES) for i, u in enumerate(urls)}
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in filter_urls(frame, URL_RULES).collect()} == want
+    monkeypatch.setattr(url_filter, "MOST_RULES", 2)
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in filter_urls(frame, URL_RULES).collect()} == want
