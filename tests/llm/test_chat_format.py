@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from sparkrank.llm.chat_format import CLOSE, NEXT, format_chat, masked_text, read_chat
+from sparkrank.llm.chat_format import CLOSE, NEXT, RUN, format_chat, masked_text, read_chat
 
 
 def test_round_trip_and_mask(spark):
@@ -12,6 +12,7 @@ def test_round_trip_and_mask(spark):
     rows = [(c, t, r.choice(["user", "assistant", "sys:\n<x>"]), r.choice([say(), None])) for c in range(40) for t in range(r.randint(1, 9))]
     rows += [(None, 0, None, "x"), (50, 1, "user", "b"), (50, 0, "user", "a"), (50, 1, "user", "b")]
     rows += [(60, t, "assistant" if t % 3 else "user", f"<{t}>") for t in range(1000)]
+    rows += [(61, t, "assistant", f"t{t}é") for t in range(RUN * RUN + 3 * RUN + 5)]  # more spans than two levels of runs hold
     r.shuffle(rows)
     frame = spark.createDataFrame([(*x, 1) for x in rows], "conv_id long, turn long, role string, text string, turns int").repartition(3)
     chats = format_chat(frame).select("conv_id", "formatted", read_chat(F.col("formatted")).alias("back"), masked_text(F.col("formatted"), F.col("loss_mask")).alias("loss"))
