@@ -50,12 +50,22 @@ def words(text: Column, analysis: Analysis = INGEST) -> Column:
 
 def terms(text: Column, analysis: Analysis = INGEST) -> Column:
     """Normalised words in order, those that became empty still among them."""
-    out = words(text, analysis)
     if analysis.strip_invisible or analysis.fold_accents:
-        out = _normalised(out, F.lit(analysis.strip_invisible), F.lit(analysis.fold_accents), F.lit(analysis.fold_case))
-    elif analysis.fold_case:
-        out = F.transform(out, lambda w: F.lower(w))
-    return out
+        return _normalised(words(text, analysis), F.lit(analysis.strip_invisible), F.lit(analysis.fold_accents), F.lit(analysis.fold_case))
+    if is_plain(analysis):
+        return words(F.lower(text) if analysis.fold_case else text, analysis)
+    return F.transform(words(text, analysis), lambda w: F.lower(w)) if analysis.fold_case else words(text, analysis)
+
+
+def is_plain(analysis: Analysis) -> bool:
+    """Whether terms are cut at white space alone, so that a text's case can be folded before."""
+    return analysis.words == "whitespace" and not (analysis.strip_invisible or analysis.fold_accents)
+
+
+def spaced(text: Column, analysis: Analysis = INGEST) -> Column:
+    """A text as one string, a blank on both sides of each term: " a  b ". What is found in it by a string search is found as terms."""
+    require(is_plain(analysis), "terms that white space alone does not cut")
+    return F.concat(F.lit(" "), F.regexp_replace(F.lower(text) if analysis.fold_case else text, WHITE_SPACE, "  "), F.lit(" "))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -122,9 +132,9 @@ STEP_4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "men
 
 
 def porter(word: str) -> str:
-    """The classic Porter stem of a lower-case word."""
+    """The classic Porter stem of a lower-case word. Whatever is no vowel counts as a consonant, digits and other letters too."""
     w = word
-    if len(w) < 3 or not w.isascii() or not w.isalpha():
+    if len(w) < 3:
         return w
     if w.endswith("sses") or w.endswith("ies"):
         w = w[:-2]

@@ -65,20 +65,22 @@ def batch_top_k(vectors: DataFrame, queries: Sequence[tuple[int, Sequence[float]
 QUERY_BLOCK, ROW_BLOCK = 1024, 4096
 
 
-def block_top_k(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def block_top_k(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id", vector: str = "embedding", cells: tuple[Column, Column] | None = None) -> DataFrame:
     """As batch_top_k for any number of queries: blocks of queries meet blocks of rows, and of each meeting only the best k of a query go on.
 
-    Neither the queries nor the rows pass through the driver.
+    Neither the queries nor the rows pass through the driver. cells: the cell of a row and the
+    list of cells that a query probes, as expressions; only rows of these cells are compared.
     """
-    own = [df.where(F.col(f"`{vector}`").isNotNull()).select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("vector")) for df in (queries, vectors)]
+    where = (F.explode(cells[1]), cells[0]) if cells else (F.lit(0), F.lit(0))
+    own = [df.where(F.col(f"`{vector}`").isNotNull()).select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("vector"), c.alias("cell")) for df, c in zip((queries, vectors), where, strict=True)]
     counts = [-(-df.count() // size) for df, size in zip(own, (QUERY_BLOCK, ROW_BLOCK), strict=True)]
 
     def packed(df: DataFrame, n: int, name: str) -> DataFrame:
-        listed = df.groupBy(F.pmod(F.xxhash64("id"), F.lit(max(n, 1))).cast("int").alias(f"{name}_block"))
+        listed = df.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(max(n, 1))).cast("int").alias(f"{name}_block"))
         return listed.agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("vector")).alias(f"{name}_values"))
 
     q, r = packed(own[0], counts[0], "query"), packed(own[1], counts[1], "row")
-    meetings = r.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(max(counts[0], 1) - 1)))).join(q, "query_block")
+    meetings = r.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(max(counts[0], 1) - 1)))).join(q, ["cell", "query_block"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -55,6 +55,21 @@ def rrf(legs: list[DataFrame], k: int, rrf_k: int = RRF_K, weights: list[float]
     return fused.orderBy(wire, F.col("n_legs").desc(), by_id).limit(k)
 
 
+def provenance(legs: dict[str, DataFrame], k: int, rrf_k: int = RRF_K, weights: list[float] | None = None, leg_k: int | None = None) -> DataFrame:
+    """The rows of rrf and where they come from: doc_id, score, and for each leg by name its rank and raw score, null where it lacks the row."""
+    weights = weights or [1.0] * len(legs)
+    _weights(weights)
+    ranked = [
+        tie_complete(leg, leg_depth(k, rrf_k, leg_k)).select("doc_id", F.lit(name).alias("leg"), "rank", F.col("score").alias("raw"), (F.lit(w) / (rrf_k + F.col("rank"))).alias("part"))
+        for (name, leg), w in zip(legs.items(), weights, strict=True)
+        if w > 0
+    ]
+    named = [F.max(F.when(F.col("leg") == n, F.col(c))).alias(f"{n}_{o}") for n in legs for c, o in (("rank", "rank"), ("raw", "score"))]
+    fused = reduce(lambda a, b: a.unionByName(b), ranked).groupBy("doc_id").agg(F.sum("part").alias("score"), F.count("*").alias("n_legs"), *named)
+    wire, by_id = ranking()
+    return fused.orderBy(wire, F.col("n_legs").desc(), by_id).limit(k).drop("n_legs")
+
+
 def rrf_two_level(legs: list[DataFrame], shard: Column, k: int, rrf_k: int = RRF_K, leg_k: int | None = None) -> DataFrame:
     """RRF inside each shard, then RRF over the shards' lists. shard: an expression over doc_id."""
     depth = leg_depth(k, rrf_k, leg_k)

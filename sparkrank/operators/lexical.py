@@ -11,11 +11,12 @@ from collections.abc import Iterable, Mapping
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from sparkrank.errors import Refused, require
-from sparkrank.functions.analysis import INGEST, Analysis, stemmed, terms
+from sparkrank.functions.analysis import INGEST, Analysis, is_plain, spaced, stemmed, terms
+from sparkrank.staging import staged
 
 #: BM25's parameters.
 K1, B = 1.2, 0.75
@@ -52,6 +53,27 @@ def field_stats(docs: DataFrame, text: str = "text", analysis: Analysis = INGEST
     return out.select("n", "total", F.when(F.col("total") > 0, F.col("total") / F.col("n")).otherwise(F.lit(1.0)).alias("avgdl"))
 
 
+def corpus_terms(docs: DataFrame, text: str = "text", field: str = "body", analysis: Analysis = INGEST) -> DataFrame:
+    """(field, term, df, cf) as term_stats, without postings: a task shuffles one row per term, not one per term and document."""
+    sorted_terms = F.array_sort(F.filter(terms(F.col(f"`{text}`"), analysis), lambda t: t != ""))
+    own = docs.select(sorted_terms.alias("terms"))
+    first = F.transform("terms", lambda t, i: F.struct(t.alias("term"), (~F.coalesce(F.get("terms", i - 1).eqNullSafe(t), F.lit(False))).alias("first")))
+    rows = own.select(F.inline(first))
+    if analysis.stem:
+        raise Refused("stems without postings")
+    return rows.groupBy("term").agg(F.count_if("first").alias("df"), F.count("*").alias("cf")).select(F.lit(field).alias("field"), "term", "df", "cf")
+
+
+def matching(docs: DataFrame, query: Iterable[str], text: str = "text", analysis: Analysis = INGEST) -> DataFrame:
+    """The rows that hold a term of the query, whole and unscored."""
+    wanted = list(dict.fromkeys(query))
+    require(len(wanted) > 0, "a query without terms")
+    body = F.col(f"`{text}`")
+    if is_plain(analysis):
+        return docs.where(reduce(lambda a, c: a | c, [F.contains(spaced(body, analysis), F.lit(f" {t} ")) for t in wanted]))
+    return docs.where(F.arrays_overlap(terms(body, analysis), F.lit(wanted)))
+
+
 def term_stats(posted: DataFrame) -> DataFrame:
     """(field, term, df, cf)."""
     return posted.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
@@ -72,8 +94,9 @@ def _occurrences(array: str, term: str) -> Column:
 def bm25(docs: DataFrame, query: Iterable[str] | Mapping[str, float], text: str = "text", analysis: Analysis = INGEST, k1: float = K1, b: float = B, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, score) of the documents that hold a query term. query: terms, or terms with weights.
 
-    Without an index, a document's own term counts come from one expression over its text, and
-    nothing but the statistics - one row - and the scores leaves its task.
+    Without an index the texts are read once, when this is called: term counts come from one
+    expression over a text, the corpus's statistics are observed on the way, and the counts of
+    the documents that hold a term are written down, from which the scores are computed.
     """
     weights = dict(query) if isinstance(query, Mapping) else {t: 1.0 for t in dict.fromkeys(query)}
     require(len(weights) > 0, "a query without terms")
@@ -81,10 +104,13 @@ def bm25(docs: DataFrame, query: Iterable[str] | Mapping[str, float], text: str
     counts = [_occurrences("terms", t).alias(f"tf{i}") for i, t in enumerate(weights)]
     own = own.select("doc_id", F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("dl"), *counts)
     hits = [F.col(f"tf{i}") > 0 for i in range(len(weights))]
-    stats = own.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), *[F.count_if(h).alias(f"df{i}") for i, h in enumerate(hits)]).first()
+    seen = Observation()
+    own = own.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), *[F.count_if(h).alias(f"df{i}") for i, h in enumerate(hits)])
+    own = staged(own.where(reduce(lambda a, c: a | c, hits)), "bm25")
+    stats = seen.get
     n, avgdl = stats["n"], (stats["total"] / stats["n"] if stats["total"] else 1.0)
     parts = [F.when(h, w * idf(F.lit(n), F.lit(stats[f"df{i}"])) * tf_norm(F.col(f"tf{i}"), F.col("dl"), F.lit(avgdl), k1, b)).otherwise(0.0) for i, (h, w) in enumerate(zip(hits, weights.values(), strict=True))]
-    return own.where(reduce(lambda a, c: a | c, hits)).select("doc_id", reduce(lambda a, c: a + c, parts).alias("score"))
+    return own.select("doc_id", reduce(lambda a, c: a + c, parts).alias("score"))
 
 
 def bm25_fused(docs: DataFrame, query: Iterable[str], fields: Mapping[str, tuple[float, float, float]], analysis: Analysis = INGEST, doc_id: str = "doc_id") -> DataFrame:
@@ -135,24 +161,44 @@ def phrase_starts(text: Column, phrase: list[str], slop: int = 0, analysis: Anal
     """Positions where the phrase's terms begin to occur in order within len + slop words, each taken as early as it can."""
     require(len(phrase) > 1, "a phrase of fewer than two words")
     placed = F.filter(F.transform(terms(text, analysis), lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x["t"].isin(phrase))
-    starts = F.transform(F.filter(placed, lambda x: x["t"] == phrase[0]), lambda x: x["i"])
 
-    def after(term: str, at: Column) -> Column:
-        return F.array_min(F.transform(F.filter(placed, lambda x: (x["t"] == term) & (x["i"] > at)), lambda x: x["i"]))
+    def found(placed: Column) -> Column:
+        starts = F.transform(F.filter(placed, lambda x: x["t"] == phrase[0]), lambda x: x["i"])
+
+        def reaches(start: Column) -> Column:
+            near = F.filter(placed, lambda x: (x["i"] > start) & (x["i"] < start + len(phrase) + slop))
 
-    def reaches(start: Column) -> Column:
-        at = start
-        for term in phrase[1:]:
-            at = after(term, at)
-        return F.coalesce(at - start + 1 <= len(phrase) + slop, F.lit(False))
+            def after(term: str, at: Column) -> Column:
+                return F.array_min(F.transform(F.filter(near, lambda x: (x["t"] == term) & (x["i"] > at)), lambda x: x["i"]))
 
-    return F.filter(starts, reaches)
+            at = start
+            for term in phrase[1:]:
+                at = after(term, at)
+            return F.coalesce(at - start + 1 <= len(phrase) + slop, F.lit(False))
+
+        return F.filter(starts, reaches)
+
+    # bound to a lambda's variable, the phrase's terms are found once in a text
+    return F.get(F.transform(F.array(placed), found), F.lit(0))
+
+
+def phrase_count(text: Column, phrase: list[str], analysis: Analysis = INGEST) -> Column:
+    """At how many places the phrase's terms stand side by side: a search in the text as one string, overlaps included."""
+    require(len(phrase) > 1, "a phrase of fewer than two words")
+    quoted = "".join(" \\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E " for t in phrase)
+    return F.regexp_count(spaced(text, analysis), F.lit(f"(?={quoted})"))
 
 
 def phrase_matches(docs: DataFrame, phrase: list[str], slop: int = 0, text: str = "text", analysis: Analysis = INGEST, doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n): documents that hold the phrase, and at how many places it starts."""
-    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.size(phrase_starts(F.col(f"`{text}`"), phrase, slop, analysis)).cast("long").alias("n"))
-    return own.where("n > 0")
+    body = F.col(f"`{text}`")
+    n = phrase_count(body, phrase, analysis) if slop == 0 and is_plain(analysis) else F.size(phrase_starts(body, phrase, slop, analysis))
+    if is_plain(analysis):  # a plain string search for the terms passes over texts that lack one
+        held = F.lower(body) if analysis.fold_case else body
+        docs = docs.where(reduce(lambda a, c: a & c, [F.contains(held, F.lit(t)) for t in dict.fromkeys(phrase)]))
+    listed = F.array(F.struct(F.col(f"`{doc_id}`").alias("doc_id"), n.cast("long").alias("n")))
+    # a filter on n would be computed beside n; in an array it is the same value
+    return docs.select(F.inline(F.filter(listed, lambda x: x["n"] > 0)))
 
 
 def phrase_route(n_terms: int, slop: int, has_bigrams: bool, has_positions: bool) -> str:

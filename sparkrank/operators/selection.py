@@ -53,6 +53,18 @@ def boolean(node: Clause | Bool, depth: int = 0) -> tuple[Column, Column]:
     return member, F.when(member, score).otherwise(zero)  # a tree that is left out brings no score
 
 
+def searched(df: DataFrame, searches: Mapping[str, DataFrame], doc_id: str = "doc_id") -> DataFrame:
+    """df with a column for each search (doc_id, score): its score, null where it found nothing. Make leaves of them by found()."""
+    for name, scored in searches.items():
+        df = df.join(scored.select(F.col("doc_id").alias(doc_id), F.col("score").alias(name)), doc_id, "left")
+    return df
+
+
+def found(name: str) -> Clause:
+    """A leaf: what a search of searched() found, with its score."""
+    return Clause(F.col(name).isNotNull(), F.col(name))
+
+
 def select(df: DataFrame, tree: Clause | Bool) -> DataFrame:
     """The rows of a tree with their score."""
     member, score = boolean(tree)
@@ -85,8 +97,11 @@ def search_after(scored: DataFrame, score: float, doc_id: int, k: int, id_column
 
 
 def sorted_after(df: DataFrame, keys: Sequence[tuple[str, bool]], last: Sequence, k: int, doc_id: str = "doc_id") -> DataFrame:
-    """The page of sort_rows after the row with these key values and, last, this id."""
+    """The page of sort_rows after the row with these key values and, last, this id. A row that is not there any more is refused."""
     order = [*keys, (doc_id, True)]
+    there = reduce(lambda a, b: a & b, [F.col(name) == F.lit(value) for (name, _), value in zip(order, last, strict=True)])
+    if df.where(there).limit(1).count() == 0:
+        raise Refused("the page's last row is not in the result")
     after, same = F.lit(False), F.lit(True)
     for (name, up), value in zip(order, last, strict=True):
         c, v = F.col(name), F.lit(value)
