@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from sparkrank.llm.shared import only, power_of_two, text_bytes, written
 from sparkrank.llm.suffix_array import permuted_common_prefixes, sort_suffixes
-from sparkrank.llm.tokens import BASES, Block, blocks, byte_sums, mix, sorted_runs, span_hash, spread
+from sparkrank.llm.tokens import BASES, ZIPPED, Block, blocks, byte_sums, mix, slices, sorted_runs, span_hash, spread, unzipped, zipped
 
 #: Bytes of an anchor.
 ANCHOR = 40
@@ -220,8 +220,9 @@ def _contexts(length: int, n_shards: int):
     """Cut the contexts to compare, and the windows of crowded anchors; of windows that are equal in a batch, all but the earliest are settled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, found = (batch.column(i).to_pylist() for i in range(3))
+        for batch in slices(batches):
+            ids, sizes, packed, found = (batch.column(i).to_pylist() for i in range(4))
+            texts = unzipped(sizes, packed)
             seen: dict[bytes, tuple[int, int]] = {}
             rows = []
             for doc, text, own in zip(ids, texts, found, strict=True):
@@ -347,8 +348,9 @@ def later_windows(contexts: list[tuple[int, int, bytes]], length: int) -> list[t
 
 def _cut(with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts, found = (batch.column(i).to_pylist() for i in range(3))
+        for batch in slices(batches):
+            ids, sizes, packed, found = (batch.column(i).to_pylist() for i in range(4))
+            texts = unzipped(sizes, packed)
             n_bytes, n_removed, n_spans, digests, kept_texts = [], [], [], [], []
             for text, spans in zip(texts, found, strict=True):
                 kept, last, gone, merged = [], 0, 0, 0
@@ -393,7 +395,9 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, doc_id: str = "doc
     found = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare, _FOUND)
     found = written(found, "anchors")
     compare = found.where("hash is not null").groupBy("doc_id").agg(F.collect_set(F.struct("start", "end", "hash", "crowded")).alias("found"))
-    contexts = named.join(compare, "doc_id").select("doc_id", "text", "found").mapInArrow(_contexts(length, n_shards), _CONTEXT)
+    # texts cross the network compressed
+    packed_texts = named.mapInArrow(zipped, ZIPPED)
+    contexts = packed_texts.join(compare, "doc_id").select("doc_id", "size", "zipped", "found").mapInArrow(_contexts(length, n_shards), _CONTEXT)
     cuts = written(contexts.groupBy("shard").applyInArrow(_sort_shard(length), _CUTS), "suffixes")
     # the windows of crowded anchors, one class per hash: the earliest stays
     crowded = cuts.where("window is not null")
@@ -403,4 +407,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 100, doc_id: str = "doc
     gone = cuts.where("window is null").select("doc_id", "start", "end").union(late).union(found.where("hash is null").select("doc_id", "start", "end"))
     gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("gone"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return own.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(_cut(with_text), out)
+    cut = packed_texts.join(gone, "doc_id", "left").select("doc_id", "size", "zipped", "gone")
+    # rows without a doc_id would all meet in one task of the join
+    nameless = own.where("doc_id is null").select("doc_id", F.octet_length("text").alias("size"), F.col("text").alias("zipped"), F.lit(None).cast(cut.schema["gone"].dataType).alias("gone"))
+    return cut.union(nameless).mapInArrow(_cut(with_text), out)
