@@ -40,8 +40,8 @@ def _dealt(at: np.ndarray, s: np.ndarray, queues: list[list[np.ndarray]]) -> Non
         queues[symbols[i]].append(at[i:j])
 
 
-def _induce(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
-    """The order of all suffixes that the order of the leftmost-smaller ones in `seeds` induces."""
+def _induce(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, size: int, apart: int) -> np.ndarray:
+    """The order of all suffixes that the order of the leftmost-smaller ones in `seeds` induces; those that begin with apart keep theirs."""
     larger_q: list[list[np.ndarray]] = [[] for _ in range(size)]
     seed_q: list[list[np.ndarray]] = [[] for _ in range(size)]
     smaller_q: list[list[np.ndarray]] = [[] for _ in range(size)]
@@ -69,51 +69,48 @@ def _induce(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, size: int) ->
             i += 1
         _dealt(before(larger[c][::-1], True), s, smaller_q)
         tail = np.concatenate(queue)[::-1] if queue else nothing
-        if c == 0:
-            tail = np.concatenate(seed_q[0]) if seed_q[0] else tail  # the last symbol stands alone
+        if c in (0, apart) and seed_q[c]:  # the last symbol stands alone
+            tail = np.concatenate(seed_q[c])
         out += [tail, larger[c]]
     return np.concatenate(out[::-1])
 
 
-def _induce_listed(s: list[int], smaller: list[bool], seeds: list[int], size: int) -> list[int]:
-    """As _induce, symbol by symbol."""
+def _induce_listed(s: np.ndarray, before_larger: list[int], before_smaller: list[int], seeds: np.ndarray, size: int) -> np.ndarray:
+    """As _induce, symbol by symbol.
+
+    before_larger: for each position the symbol before it, if the suffix there is larger than
+    the next, else -1; before_smaller the other way round; one -1 more, for places still empty.
+    """
     n = len(s)
-    counts = [0] * size
-    for c in s:
-        counts[c] += 1
-    heads, tails, total = [], [], 0
-    for k in counts:
-        heads.append(total)
-        total += k
-        tails.append(total)
-    sa = [-1] * n
-    ends = tails[:]
-    for p in reversed(seeds):
-        c = s[p]
-        ends[c] -= 1
-        sa[ends[c]] = p
-    for i in range(n):
-        p = sa[i] - 1
-        if p >= 0 and not smaller[p]:
-            c = s[p]
-            sa[heads[c]] = p
-            heads[c] += 1
-    ends = tails
-    for i in range(n - 1, -1, -1):
-        p = sa[i] - 1
-        if p >= 0 and smaller[p]:
-            c = s[p]
-            ends[c] -= 1
-            sa[ends[c]] = p
-    return sa
-
-
-def _names(s: np.ndarray, order: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    """Number the leftmost-smaller substrings, given in order: equal ones get one number. marks: their starts in text order."""
+    ends = np.cumsum(np.bincount(s, minlength=size))
+    symbols = s[seeds]
+    order = np.argsort(symbols, kind="stable")
+    symbols = symbols[order]
+    filled = np.full(n, n, dtype=np.int64)
+    # seeds fill their buckets from the end
+    filled[ends[symbols] - np.searchsorted(symbols, symbols, "right") + np.arange(len(seeds))] = seeds[order]
+    sa, heads, tails = filled.tolist(), [0, *ends[:-1].tolist()], ends.tolist()
+    for p in sa:  # sees what is put ahead of it
+        c = before_larger[p]
+        if c >= 0:
+            h = heads[c]
+            sa[h] = p - 1
+            heads[c] = h + 1
+    for p in reversed(sa):
+        c = before_smaller[p]
+        if c >= 0:
+            h = tails[c] - 1
+            sa[h] = p - 1
+            tails[c] = h
+    return np.array(sa, dtype=np.int64)
+
+
+def _names(s: np.ndarray, order: np.ndarray, marks: np.ndarray, apart: int) -> np.ndarray:
+    """Number the leftmost-smaller substrings, given in order: equal ones get one number, but for those that begin or end with the symbol apart. marks: their starts in text order."""
     length = np.ones(len(s), dtype=np.int64)
     length[marks[:-1]] = np.diff(marks) + 1
     a, b = order[:-1], order[1:]
-    same = length[a] == length[b]
+    same = (length[a] == length[b]) & (s[a] != apart) & (s[a + length[a] - 1] != apart)
     pairs = np.flatnonzero(same)
     if len(pairs):
         counts = length[a[pairs]]
@@ -123,27 +120,35 @@ def _names(s: np.ndarray, order: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(~same)))
 
 
-def sort_suffixes(s: np.ndarray, size: int) -> np.ndarray:
-    """Suffix array of s, whose last symbol is 0 and stands there alone; symbols are below size."""
+def sort_suffixes(s: np.ndarray, size: int, apart: int = -1) -> np.ndarray:
+    """Suffix array of s, whose last symbol is 0 and stands there alone; symbols are below size.
+
+    The symbol apart, if any, separates strings: each of its occurrences counts as a symbol of
+    its own, ordered by place (the one before the last symbol first), so that no comparison runs
+    on into the next string. It is 1, none stands beside another, and the alphabet is small.
+    """
     n = len(s)
     if n == 1:
         return np.zeros(1, dtype=np.int64)
     smaller = smaller_than_next(s)
     marks = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     whole = size <= SMALL_ALPHABET
-    listed = None if whole else (s.tolist(), smaller.tolist())
+    if not whole:
+        before = np.concatenate(([-1], s[:-1], [-1]))
+        before_is_smaller = np.concatenate(([False], smaller[:-1], [False]))
+        listed = np.where(before_is_smaller, -1, before).tolist(), np.where(before_is_smaller, before, -1).tolist()
 
     def induce(seeds: np.ndarray) -> np.ndarray:
         if whole:
-            return _induce(s, smaller, seeds, size)
-        return np.array(_induce_listed(*listed, seeds.tolist(), size), dtype=np.int64)
+            return _induce(s, smaller, seeds, size, apart)
+        return _induce_listed(s, *listed, seeds, size)
 
     is_mark = np.zeros(n, dtype=bool)
     is_mark[marks] = True
     order = induce(marks)
     order = order[is_mark[order]]
     if len(order) > 1:
-        names = _names(s, order, marks)
+        names = _names(s, order, marks, apart)
         n_names = int(names[-1]) + 1
         if n_names < len(order):
             at = np.empty(n, dtype=np.int64)
@@ -153,8 +158,8 @@ def sort_suffixes(s: np.ndarray, size: int) -> np.ndarray:
     return induce(order)
 
 
-def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """For each position, how long a prefix its suffix shares with the one before it in order.
+def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray, apart: int = -1) -> np.ndarray:
+    """For each position, how long a prefix its suffix shares with the one before it in order; apart as in sort_suffixes.
 
     From a position to the next the value falls by one at most, and does exactly that wherever
     the two suffixes are preceded by the same symbol; only at the other positions it is counted.
@@ -167,11 +172,12 @@ def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     at = np.arange(n)
     counted = (prior < 0) | (prior == 0) | (at == 0)
     inner = ~counted
-    counted[inner] = s[at[inner] - 1] != s[prior[inner] - 1]
+    counted[inner] = (s[at[inner] - 1] != s[prior[inner] - 1]) | (s[at[inner] - 1] == apart)
     open_ = np.flatnonzero(counted & (prior >= 0))
     length = 0
     while len(open_):  # the last symbol is unlike any other, so no comparison runs over the end
-        open_ = open_[s[open_ + length] == s[prior[open_] + length]]
+        symbols = s[open_ + length]
+        open_ = open_[(symbols == s[prior[open_] + length]) & (symbols != apart)]
         length += 1
         out[open_] = length
     last = np.maximum.accumulate(np.where(counted, at, 0))

@@ -287,7 +287,7 @@ def _sieved(contexts: list[tuple[int, int, bytes]], length: int) -> list[tuple[i
         return []
     sums = byte_sums(np.frombuffer(b"".join(c[2] for c in contexts), dtype=np.uint8))
     hashes = span_hash(sums, at, at + length, BASES[0])
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)
     ordered = hashes[order]
     twice = np.zeros(len(at), dtype=bool)
     same = ordered[1:] == ordered[:-1]
@@ -319,8 +319,8 @@ def later_windows(contexts: list[tuple[int, int, bytes]], length: int) -> list[t
     offsets = np.cumsum(sizes + 1) - sizes - 1
     s[offsets + sizes] = 1
     s = np.append(s, np.int16(0))
-    sa = sort_suffixes(s, 258)
-    shared = permuted_common_prefixes(s, sa)
+    sa = sort_suffixes(s, 258, apart=1)
+    shared = permuted_common_prefixes(s, sa, apart=1)
     # runs of neighbours that share `length` symbols inside their context are one class of windows
     whole = np.zeros(len(s), dtype=bool)
     whole[spread(offsets, np.maximum(sizes - length + 1, 0))] = True

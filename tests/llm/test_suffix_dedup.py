@@ -89,3 +89,19 @@ def test_text_longer_than_a_block(spark):
     text = "".join(r.choice("abcdefgh ") for _ in range(1_200_000))
     docs = [(1, text), (2, "lead " + text[900_000:])]
     assert rows(remove_repeated_bytes(spark.createDataFrame(docs, "doc_id long, text string"))) == brute(docs)
+
+
+def test_suffixes_of_separated_strings():
+    """With a symbol apart, equal strings are ordered by where they end, and no comparison runs on."""
+    r = random.Random(1)
+    for _ in range(150):
+        parts = ["".join(r.choice("abc") for _ in range(r.randint(1, 30))) for _ in range(r.randint(1, 8))]
+        parts += [r.choice(parts) for _ in range(r.randint(0, 6))]
+        s, ends = [], []
+        for part in parts:
+            s += [ord(x) + 2 for x in part] + [1]
+            ends.append(len(s) - 1)
+        s.append(0)
+        place = {p: i for i, p in enumerate(ends)} | {ends[-1]: -1}
+        symbols = [(x, place.get(i, 0)) for i, x in enumerate(s)]
+        assert sort_suffixes(np.array(s, dtype=np.int16), 258, apart=1).tolist() == sorted(range(len(s)), key=lambda i: symbols[i:])
