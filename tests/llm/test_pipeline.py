@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from sparkrank.llm.toxicity import fit, score_documents
+from tests.llm.test_mixing import brute as mixing_brute
 
 
 @pytest.fixture(scope="module")
@@ -102,3 +103,36 @@ def test_repeated_clashing_and_null_ids(spark, tmp_path):
     mixed = corpus_pipeline.mix(spark, frame, d).collect()
     assert sum(x.n_tokens for x in mixed) <= 0.75 * sum(len(x.text.split()) for x in frame.collect())
     assert mixed and max(sum(y.text == x.text and y.epoch == x.epoch for y in mixed) for x in mixed) <= 10
+
+
+def test_mixing_stage_against_brute_force(spark, tmp_path):
+    """What the last stage draws is what the operator's brute force draws, by row."""
+    from sparkrank.llm.queries import MIX_EPOCHS, MIX_SEED, MIX_SHARE, MIX_WEIGHTS
+
+    r = random.Random(3)
+    docs = [(i, " ".join("x" * r.randint(1, 4) for _ in range(r.choice([0, 2, 30, 150]))), r.choice(["en", "de", "es", None]), r.choice(["src0", "src1", "src7", "src12", "src19"])) for i in range(300)]
+    domain = lambda source: "crawl" if source == "src0" else "web" if len(source) == 4 else "curated"
+
+    def weight(path):
+        fits = [p for p in MIX_WEIGHTS if len(p) == len(path) and all(x in ("*", y) for x, y in zip(p, path))]
+        return MIX_WEIGHTS[max(fits, key=lambda p: (sum(x != "*" for x in p), p))] if fits else 1
+
+    # the brute force names a domain by its source's first letter
+    renamed = [(i, t, lang, domain(source)[0] + source) for i, t, lang, source in docs]
+    names = {"c": "crawl", "w": "web", "k": "curated"}
+    renamed = [(i, t, lang, ("k" + s[1:]) if domain(s[1:]) == "curated" else s) for i, t, lang, s in renamed]
+    budget = int(MIX_SHARE * sum(len(t.split()) for _, t, *_ in docs))
+    want = mixing_brute(renamed, lambda path: weight(tuple(names.get(x, x) if k == 0 else x[1:] if k == 2 else x for k, x in enumerate(path))), budget, MIX_EPOCHS, MIX_SEED)
+    frame = spark.createDataFrame([(i, t, lang, s, len(t)) for i, t, lang, s in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.mix(spark, frame, str(tmp_path)).collect()
+    assert sorted((x.doc_id, x.epoch) for x in got) == want and len(want) > 50
+    assert all(x.text == docs[x.doc_id][1] and x.domain == domain(x.source) for x in got)
+
+
+def test_empty_tables(spark, tmp_path):
+    """Stages over tables without rows give tables without rows."""
+    d = str(tmp_path)
+    documents, labels, benchmark = "doc_id long, text string, lang string, source string, n_chars long", "doc_id long, quality int, toxic int", "item_id long, text string"
+    for name, kind in (("documents", documents), ("labels", labels), ("benchmark", benchmark)):
+        spark.createDataFrame([], kind).write.parquet(f"{d}/{name}.parquet")
+    assert corpus_pipeline.run(spark, d).count() == 0
