@@ -25,7 +25,7 @@ PREFIX_CAP, PREFIX_MOST = 128, 1024
 
 
 def postings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", field: str = "body", analysis: Analysis = INGEST, only: Iterable[str] | None = None) -> DataFrame:
-    """(field, term, doc_id, tf, positions, dl): one row per term and document.
+    """(field, term, doc_id, tf, positions, dl): one row per term and document, which is a row of docs.
 
     A word that normalisation empties keeps its place in the positions and counts for nothing
     else. With `only`, just these terms are exploded: the rest of a text never becomes rows.
@@ -36,11 +36,18 @@ def postings(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", field:
     own = own.select("field", "doc_id", F.size(placed).cast("long").alias("dl"), placed.alias("placed"))
     if only is not None and not analysis.stem:
         own = own.withColumn("placed", F.filter("placed", lambda x: x["term"].isin(list(only))))
-    rows = own.select("field", "doc_id", "dl", F.inline("placed"))
-    if analysis.stem:
-        rows = stemmed(rows)
-        if only is not None:
-            rows = rows.where(F.col("term").isin(list(only)))
+    if not analysis.stem:
+        # a text is one row, so its postings are made in it: sorted by term and position, cut where the term changes
+        own = own.withColumn("placed", F.array_sort("placed"))
+        starts = F.filter(F.sequence(F.lit(1), F.size("placed")), lambda i: (i == 1) | (F.get("placed", i - 1)["term"] != F.get("placed", i - 2)["term"]))
+        own = own.withColumn("starts", F.when(F.size("placed") > 0, starts))  # a filter would be pushed below and cut the text once more
+        end = lambda k: F.coalesce(F.get("starts", k + 1), F.size("placed") + 1)
+        cut = F.transform("starts", lambda s, k: F.struct(F.get("placed", s - 1)["term"].alias("term"), F.slice("placed", s, end(k) - s)["position"].alias("positions")))
+        rows = own.select("field", "doc_id", "dl", F.inline(cut))
+        return rows.select("field", "term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions", "dl")
+    rows = stemmed(own.select("field", "doc_id", "dl", F.inline("placed")))
+    if only is not None:
+        rows = rows.where(F.col("term").isin(list(only)))
     # a document's postings stay in its own task until here: the shuffle carries one row per term
     out = rows.groupBy("field", "term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"), F.first("dl").alias("dl"))
     return out.select("field", "term", "doc_id", "tf", "positions", "dl")
