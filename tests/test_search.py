@@ -2,6 +2,7 @@
 
 import math
 import struct
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from sparkrank.errors import Refused
 from sparkrank.functions import analysis
 from sparkrank.functions.analysis import Analysis, normalise, porter, sentences, terms, unicode_words
-from sparkrank.operators import dense, fusion, lexical
+from sparkrank.operators import dense, fusion, lexical, selection
 from sparkrank.operators.highlight import sentence_snippets, window_snippets
+from sparkrank.plans import queries
 from sparkrank.sources import tables
 
 DOCS = [(1, "the red fox"), (2, "The fox and the red red hen"), (3, "a hen"), (4, None), (5, ""), (6, "red hen red fox fox red")]
@@ -189,3 +191,45 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "vec")).count() == 1
     with pytest.raises(Exception, match="not 3 values"):
         tables.write_vectors(v, str(tmp_path / "vec"), dims=3)
+
+
+def test_cells_recall_with_the_registered_parameters(spark):
+    """Recall of dense_cells against all rows, for the stated query set on the embeddings table."""
+    d = "/root/testdata/sf0.1"
+    if not Path(f"{d}/embeddings.parquet").exists():
+        pytest.skip("no test tables here")
+    t = spark.read.parquet(f"{d}/embeddings.parquet")
+    exact = {(r.query_id, r.vec_id) for r in dense.block_top_k(t, t.where("vec_id % 20 = 0"), 10).collect()}
+    got = {(r.query_id, r.vec_id) for r in queries.dense_cells(spark, d).collect()}
+    assert len(exact) == 1000 and len(got & exact) / len(exact) >= 0.9
+
+
+def test_matching_corpus_terms_and_overlapping_phrases(spark):
+    rows = [(1, "the The of"), (2, "a a a\ta"), (3, None), (4, " other the "), (5, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in lexical.matching(frame, ["the", "zzz"]).collect()) == [1, 4]
+    assert {(r.term, r.df, r.cf) for r in lexical.corpus_terms(frame).collect()} == {("the", 2, 3), ("of", 1, 1), ("a", 1, 4), ("other", 1, 1)}
+    assert [(r.doc_id, r.n) for r in lexical.phrase_matches(frame, ["a", "a"]).collect()] == [(2, 3)]
+    assert [(r.doc_id, r.n) for r in lexical.phrase_matches(frame, ["the", "of"], slop=1).collect()] == [(1, 2)]
+    assert {(r.term, r.doc_id, r.tf, tuple(r.positions), r.dl) for r in lexical.postings(frame).collect()} == {
+        ("the", 1, 2, (0, 1), 3), ("of", 1, 1, (2,), 3), ("a", 2, 4, (0, 1, 2, 3), 4), ("other", 4, 1, (0,), 2), ("the", 4, 1, (1,), 2)
+    }
+
+
+def test_searches_as_leaves_provenance_and_lost_pages(spark):
+    docs = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, odd int")
+    one = spark.createDataFrame([(0, 2.0), (1, 1.0)], "doc_id long, score double")
+    two = spark.createDataFrame([(1, 5.0), (4, 4.0)], "doc_id long, score double")
+    tree = selection.Bool(should=[selection.found("a"), selection.found("b"), selection.Clause(F.col("odd") == 1)], minimum_should_match=2)
+    got = selection.select(selection.searched(docs, {"a": one, "b": two}), tree).select("doc_id", "score").collect()
+    assert [tuple(r) for r in got] == [(1, 6.0)]
+    rows = {r.doc_id: r for r in fusion.provenance({"a": one, "b": two}, 10).collect()}
+    assert (rows[1].a_rank, rows[1].a_score, rows[1].b_rank, rows[1].b_score) == (2, 1.0, 1, 5.0)
+    assert rows[0].b_rank is None and abs(rows[1].score - (1 / 62 + 1 / 61)) < 1e-12
+    with pytest.raises(Refused):
+        selection.sorted_after(docs, [("odd", True)], [1, 0], 3)
+    assert [r.doc_id for r in selection.sorted_after(docs, [("odd", True)], [0, 4], 2).collect()] == [1, 3]
+
+
+def test_stems_of_words_with_digits():
+    assert [porter(w) for w in ("1990s", "mp3s", "as", "éclairs")] == ["1990", "mp3", "as", "éclair"]
