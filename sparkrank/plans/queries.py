@@ -823,7 +823,17 @@ def interleave(spark, d):
     return spark.createDataFrame(compare.interleave(*_two(spark, d), 20, "seed"), "doc_id long, team string")
 
 
-@query()
+def _arm(name: str, b: str) -> str:
+    """CTEs that end in arm_{name}: how list b compares with list a."""
+    return f"""u_{name} AS (SELECT doc_id, coalesce(x.rank, (SELECT count(*) + 1 FROM a)) AS ra, coalesce(y.rank, (SELECT count(*) + 1 FROM {b})) AS rb FROM a x FULL JOIN {b} y USING (doc_id)),
+    p_{name} AS (SELECT sign(x.ra - y.ra) AS i, sign(x.rb - y.rb) AS j FROM u_{name} x JOIN u_{name} y ON x.doc_id < y.doc_id), m_{name} AS (SELECT greatest(x.rank, y.rank) AS d FROM a x JOIN {b} y USING (doc_id)),
+    n_{name} AS (SELECT least((SELECT count(*) FROM a), (SELECT count(*) FROM {b})) AS n), k_{name} AS (SELECT unnest(range(1, 1 + n)) AS k FROM n_{name}),
+    r_{name} AS (SELECT 0.1::DOUBLE * sum(pow(0.9::DOUBLE, k - 1) * (SELECT count(*) FROM m_{name} WHERE d <= k) / k) AS rbo FROM k_{name}),
+    t_{name} AS (SELECT sum(i * j) / sqrt(count(*) FILTER (i <> 0)::DOUBLE * count(*) FILTER (j <> 0)) AS tau FROM p_{name}),
+    arm_{name} AS (SELECT '{name}' AS arm, (SELECT count(*) FROM m_{name}) / n AS overlap, round(tau, 6) AS tau, round(rbo, 6) AS rbo, (SELECT doc_id FROM a WHERE rank = 1) IS DISTINCT FROM (SELECT doc_id FROM {b} WHERE rank = 1) AS flipped FROM n_{name}, t_{name}, r_{name})"""
+
+
+@query(f"{_TWO}, {_arm('other', 'b')}, {_arm('same', 'a')} SELECT * FROM arm_other UNION ALL SELECT * FROM arm_same")
 def variant_search(spark, d):
     a, b = _two(spark, d)
     return rounded(compare.variants({"base": a, "other": b, "same": a}), "tau", "rbo")
