@@ -156,19 +156,22 @@ def _per_document(block: Block, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, most
 
 
-def label_tokens(slots: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """True for the words of toxic documents that have a feature typical of such documents."""
+def label_tokens(parts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> list[np.ndarray]:
+    """Of each part of the sample - its words' slots and documents, which no other part holds: True for the words of toxic documents with a feature typical of such documents."""
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     typical = np.zeros(SLOTS, dtype=bool)
-    for own in slots if n1 and n0 else ():
-        pairs = np.unique(own.astype(np.int64) * len(toxic) + doc)
-        slot, is_toxic = pairs // len(toxic), toxic[pairs % len(toxic)]
-        with_1, with_0 = np.bincount(slot[is_toxic], minlength=SLOTS), np.bincount(slot[~is_toxic], minlength=SLOTS)
+    for row in range(len(parts[0][0]) if n1 and n0 and parts else 0):
+        with_1, with_0 = np.zeros(SLOTS, dtype=np.int64), np.zeros(SLOTS, dtype=np.int64)
+        for slots, doc in parts:
+            pairs = np.unique(slots[row].astype(np.int64) * len(toxic) + doc)
+            slot, is_toxic = pairs // len(toxic), toxic[pairs % len(toxic)]
+            with_1 += np.bincount(slot[is_toxic], minlength=SLOTS)
+            with_0 += np.bincount(slot[~is_toxic], minlength=SLOTS)
         share = (with_1 + with_0) / (n1 + n0)
         z = (with_1 / n1 - with_0 / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
         odds = np.log((with_1 + 0.5) / (n1 + 1)) - np.log((with_0 + 0.5) / (n0 + 1))
         typical |= (z >= LEAST_Z) & (odds >= LEAST_ODDS) & (with_1 >= LEAST_DOCS)
-    return typical[slots].any(axis=0) & toxic[doc]
+    return [typical[slots].any(axis=0) & toxic[doc] for slots, doc in parts]
 
 
 def unlike(texts: list[str]) -> list[int]:
@@ -193,23 +196,13 @@ def unlike(texts: list[str]) -> list[int]:
 
 
 def _sample_blocks(texts: list[str]) -> Iterator[tuple[list[int], Block]]:
-    """The sample in blocks, as in scoring, so that the driver holds hashes of one block at a time."""
+    """The sample in blocks, as in scoring, so that hashes are held of one block at a time."""
     for ids, part in blocks(list(range(len(texts))), [lowered(t).encode() for t in texts]):
         block = Block(part, separators=None)
         block.split()
         yield ids, block
 
 
-def _sample_arrays(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots, first words and documents of all words of a sample."""
-    slots, first, doc = [np.zeros((2 + len(HEADS) + len(TAILS) - 1, 0), dtype=np.int32)], [np.zeros(0, dtype=bool)], [np.zeros(0, dtype=np.int64)]
-    for ids, block in _sample_blocks(texts):
-        slots.append(features(block))
-        first.append(_firsts(block))
-        doc.append(block.doc + ids[0])
-    return np.concatenate(slots, axis=1), np.concatenate(first), np.concatenate(doc)
-
-
 def train(texts: list[str], toxic: list[bool], most: int = TRAIN_DOCS) -> Model:
     """Fit the chain on a part of a sample of labelled documents, the first `most` of each kind that are unlike, and the document curve on the rest."""
     apart = unlike(texts)
@@ -235,29 +228,34 @@ def train(texts: list[str], toxic: list[bool], most: int = TRAIN_DOCS) -> Model:
 
 
 def _train_chain(texts: list[str], truth: np.ndarray) -> Model:
-    slots, first, doc = _sample_arrays(texts)
-    y = label_tokens(slots, doc, truth)
+    """Gradients are summed block by block, so that only the slots are held for all words at once."""
+    parts = [(features(block), _firsts(block), block.doc + ids[0]) for ids, block in _sample_blocks(texts) if len(block.start)]
+    labels = label_tokens([(slots, doc) for slots, _, doc in parts], truth)
+    parts = [(slots, first, ~first[1:], y) for (slots, first, _), y in zip(parts, labels, strict=True)]
     model = Model(np.zeros(SLOTS, dtype=np.float32), -4.0, np.zeros((2, 2)), 0.0, np.zeros(4))
-    seen = [np.bincount(own[y], minlength=SLOTS) for own in slots]
-    observed = sum(seen)
-    inner = ~first
-    pairs = np.array([[np.count_nonzero(inner[1:] & (y[:-1] == a) & (y[1:] == b)) for b in (False, True)] for a in (False, True)], dtype=np.float64)
+    observed, pairs, n_true = np.zeros(SLOTS), np.zeros((2, 2)), sum(int(y.sum()) for y in labels)
+    for slots, _, inner, y in parts:
+        observed += sum(np.bincount(own[y], minlength=SLOTS) for own in slots)
+        pairs += [[np.count_nonzero(inner & (y[:-1] == a) & (y[1:] == b)) for b in (False, True)] for a in (False, True)]
     grown, grown_bias, grown_chain = np.zeros(SLOTS), 0.0, np.zeros((2, 2))
-    for _ in range(ROUNDS if y.any() else 0):
-        odds, left, right = model.messages(slots, first)
-        p = left * right / (1 + left * right)
-        g = observed - sum(np.bincount(own, weights=p, minlength=SLOTS) for own in slots) - DECAY * model.weights
+    for _ in range(ROUNDS if n_true else 0):
+        g, g_bias, g_chain = observed - DECAY * model.weights, float(n_true), pairs.copy()
+        chain = np.exp(model.chain)
+        for slots, first, inner, _ in parts:
+            odds, left, right = model.messages(slots, first)
+            p = left * right / (1 + left * right)
+            for own in slots:
+                g -= np.bincount(own, weights=p, minlength=SLOTS)
+            g_bias -= p.sum()
+            # expected pairs of neighbouring states
+            after = (odds * right)[1:]
+            joint = [chain[0, 0], chain[0, 1] * after, chain[1, 0] * left[:-1], chain[1, 1] * left[:-1] * after]
+            share = inner / (joint[0] + joint[1] + joint[2] + joint[3])
+            g_chain -= np.array([(x * share).sum() for x in joint]).reshape(2, 2)
         grown += g * g
         model.weights += (RATE * g / np.sqrt(grown + 1e-6)).astype(np.float32)
-        g_bias = y.sum() - p.sum()
         grown_bias += g_bias**2
         model.bias += RATE * g_bias / np.sqrt(grown_bias + 1e-6)
-        # expected pairs of neighbouring states
-        chain, after = np.exp(model.chain), (odds * right)[1:]
-        joint = [chain[0, 0], chain[0, 1] * after, chain[1, 0] * left[:-1], chain[1, 1] * left[:-1] * after]
-        share = inner[1:] / (joint[0] + joint[1] + joint[2] + joint[3])
-        expected = np.array([(x * share).sum() for x in joint]).reshape(2, 2)
-        g_chain = pairs - expected
         grown_chain += g_chain**2
         model.chain += RATE * g_chain / np.sqrt(grown_chain + 1e-6)
         model.chain = np.clip(model.chain - model.chain[0, 0], -8, 8)
