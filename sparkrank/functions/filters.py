@@ -26,13 +26,16 @@ _WHOLE = (Kind.INTEGER, Kind.UNSIGNED, Kind.MAP_INTEGER)
 class Filters:
     """Filters over one table, checked against its schema."""
 
-    def __init__(self, df: DataFrame, table: str = "table"):
+    def __init__(self, df: DataFrame, table: str = "table", use: set[str] | None = None):
+        """use: the columns that a reader may ask about, all if None; a filter on another one is refused."""
+        self.use = use
         self.kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
         self.table = table
 
     def _column(self, name: str, *kinds: Kind) -> Column:
         if name not in self.kinds:
             raise UnknownColumn(self.table, name)
+        require(self.use is None or name in self.use, f"{name}, which this reader may not use")
         require(not kinds or self.kinds[name] in kinds, f"{name} is {self.kinds[name].value}")
         return F.col(f"`{name}`")
 
@@ -176,7 +179,7 @@ def visible(df: DataFrame, policy: Column) -> DataFrame:
 
 
 def permitted(df: DataFrame, use: set[str], disclose: set[str], inputs: dict[str, set[str]] | None = None) -> DataFrame:
-    """The columns a reader may get. A derived column is disclosed only with all its inputs."""
+    """The columns a reader may get. A derived column is disclosed only with all its inputs. What may be asked about is kept by Filters(use=...)."""
     inputs = inputs or {}
     for name in use | disclose:
         if name not in df.columns:

@@ -96,6 +96,11 @@ def test_refusals(rows):
         with pytest.raises(Refused):
             bad()
     assert permitted(rows, {"n"}, {"id", "s"}, {"s": {"x"}}).columns == ["id"]
+    own = Filters(rows, "docs", use={"n"})
+    own.number("n", "<", 1)
+    for bad in (lambda: own.equals("s", "a"), lambda: own.has("s"), lambda: own.within("p", 0, 0, 1)):
+        with pytest.raises(Refused, match="may not use"):
+            bad()
 
 
 def one(spark, c):
