@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from sparkrank.errors import require
 from sparkrank.functions.calendar import bucket_start
+from sparkrank.staging import staging_folder
 
 #: Limits of a request.
 MAX_AGGREGATES, MAX_GROUPS, MAX_BUCKETS, MAX_DISTINCT = 32, 1000, 1024, 100_000
@@ -68,15 +69,17 @@ def histogram(df: DataFrame, column: str, width: float, max_buckets: int = MAX_B
     """(bucket, n) of floor(x / width) x width where there are rows; NaN and infinities are counted as unbucketable."""
     require(width > 0, f"a width of {width}")
     x = F.col(f"`{column}`")
+    fit = F.lit(True)
     if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
         fit = ~F.isnan(x) & (F.abs(x) < float("inf"))
-        lost = df.where(x.isNotNull() & ~fit)
-    else:
-        fit, lost = F.lit(True), None
-    key = F.floor(x / width).cast("double") * width
-    out = df.where(x.isNotNull() & fit).groupBy(key.alias("bucket")).agg(F.count("*").alias("n")).orderBy("bucket")
-    require(out.limit(max_buckets + 1).count() <= max_buckets, f"more than {max_buckets} buckets")
-    return out.withColumn("unbucketable", F.lit(lost.count() if lost is not None else 0).cast("long"))
+    key = F.when(fit, F.floor(x / width).cast("double") * width)
+    # what has no bucket is a group of its own, so the input is read once
+    groups = df.where(x.isNotNull()).groupBy(key.alias("bucket")).agg(F.count("*").alias("n"))
+    first = groups.orderBy(F.asc_nulls_first("bucket")).limit(max_buckets + 2).collect()
+    lost = sum(r["n"] for r in first if r["bucket"] is None)
+    rows = [(r["bucket"], r["n"], lost) for r in first if r["bucket"] is not None]
+    require(len(rows) <= max_buckets, f"more than {max_buckets} buckets")
+    return df.sparkSession.createDataFrame(rows, "bucket double, n long, unbucketable long")
 
 
 def calendar_histogram(df: DataFrame, column: str, unit: str, offset_minutes: int = 0) -> DataFrame:
@@ -88,37 +91,39 @@ def calendar_histogram(df: DataFrame, column: str, unit: str, offset_minutes: in
 
 
 def percentiles(df: DataFrame, column: str, ps: Sequence[tuple[int, int]]) -> DataFrame:
-    """(p, value): nearest rank, max(1, ceil(p / 100 x n)); p as a fraction (numerator, denominator) of 100 per cent. NaN has no rank.
+    """(p, value, unrankable): nearest rank, max(1, ceil(p / 100 x n)); p as a fraction (numerator, denominator) of 100 per cent.
 
-    Counts per distinct value are summed up to a rank in two steps - over ranges of values, then
-    in the ranges that hold a wanted rank - so no task sorts the whole column.
+    NaN has no rank and is counted as unrankable. The column is counted once: its distinct values
+    are written down in ranges of their order, a folder each, and every wanted rank reads the one
+    range that holds it, so no task sorts the whole column. Without a value there are no rows.
     """
+    require(all(0 <= num <= 100 * den for num, den in ps), f"percentiles of {list(ps)}")
+    spark, kind = df.sparkSession, df.schema[column].dataType
     x = F.col(f"`{column}`")
-    own = df.where(x.isNotNull())
-    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
-        own = own.where(~F.isnan(x))
-    counts = own.groupBy(x.alias("value")).agg(F.count("*").alias("n"))
-    # distinct values, ordered over the cluster; a range is a partition of that order
-    ranged = counts.repartitionByRange("value").withColumn("part", F.spark_partition_id())
-    sums = ranged.groupBy("part").agg(F.sum("n").alias("held"), F.min("value").alias("low"))
-    before = Window.partitionBy(F.lit(0)).orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("part", "held", "low", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"), F.sum("held").over(Window.partitionBy(F.lit(0))).alias("total"))
-    edges = sums.select("low", "before", "held", "total").orderBy("low").collect()  # one row per range
-    if not edges:
-        return df.sparkSession.createDataFrame([], T.StructType([T.StructField("p", T.DoubleType()), T.StructField("value", df.schema[column].dataType)]))
-    total, out = edges[0]["total"], None
-    for num, den in ps:
-        require(0 <= num <= 100 * den, f"a percentile of {num}/{den}")
-        rank = max(1, -(-num * total // (100 * den)))
-        i = next(j for j, e in enumerate(edges) if e["before"] + e["held"] >= rank)
-        inside = counts.where(F.col("value") >= F.lit(edges[i]["low"]))
-        if i + 1 < len(edges):
-            inside = inside.where(F.col("value") < F.lit(edges[i + 1]["low"]))
-        upto = Window.partitionBy(F.lit(0)).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        hit = inside.withColumn("upto", F.lit(edges[i]["before"]) + F.sum("n").over(upto)).where(F.col("upto") >= rank).agg(F.min("value").alias("value"))
-        row = hit.select(F.lit(num / den).alias("p"), "value")
-        out = row if out is None else out.unionByName(row)
-    return out
+    counts = df.where(x.isNotNull()).groupBy(x.alias("value")).agg(F.count("*").alias("n"))
+    folder = staging_folder(spark, "percentiles")
+    counts.repartitionByRange("value").withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(folder)
+    schema = T.StructType([T.StructField("value", kind), T.StructField("n", T.LongType()), T.StructField("part", T.IntegerType())])
+    ranged = spark.read.schema(schema).parquet(folder)
+    lost = F.isnan("value") if isinstance(kind, (T.DoubleType, T.FloatType)) else F.lit(False)
+    held = ranged.groupBy("part").agg(F.sum(F.when(~lost, F.col("n"))).alias("held"), F.coalesce(F.sum(F.when(lost, F.col("n"))), F.lit(0)).alias("lost"))
+    edges = held.orderBy("part").collect()  # one row per range
+    total, unrankable = sum(e["held"] or 0 for e in edges), sum(e["lost"] for e in edges)
+    made = "p double, rank long, part int, before long"
+    wanted = []
+    for num, den in ps if total else ():
+        rank, before = max(1, -(-num * total // (100 * den))), 0
+        for e in edges:
+            if before + (e["held"] or 0) >= rank:
+                wanted.append((num / den, rank, e["part"], before))
+                break
+            before += e["held"] or 0
+    parts = sorted({w[2] for w in wanted})
+    upto = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    inside = ranged.where(~lost & F.col("part").isin(parts)).withColumn("upto", F.sum("n").over(upto))
+    at = F.broadcast(spark.createDataFrame(wanted, made))  # one row per percentile
+    hit = inside.join(at, "part").where(F.col("upto") + F.col("before") >= F.col("rank"))
+    return hit.groupBy("p", "rank").agg(F.min("value").alias("value")).select("p", "value", F.lit(unrankable).cast("long").alias("unrankable"))
 
 
 # facets

@@ -681,7 +681,7 @@ def hist_calendar_week(spark, d):
 
 @query("SELECT p, v AS value FROM (SELECT unnest([0.0::DOUBLE, 50.0::DOUBLE, 99.9::DOUBLE, 100.0::DOUBLE]) AS p, unnest(quantile_disc(l_extendedprice, [0.0, 0.5, 0.999, 1.0])) AS v FROM lineitem)")
 def percentile(spark, d):
-    return agg.percentiles(table(spark, d, "lineitem"), "l_extendedprice", [(0, 1), (50, 1), (999, 10), (100, 1)])
+    return agg.percentiles(table(spark, d, "lineitem"), "l_extendedprice", [(0, 1), (50, 1), (999, 10), (100, 1)]).select("p", "value")
 
 
 @query("SELECT p_brand AS value, count(*) AS n FROM part WHERE p_size > 10 GROUP BY p_brand")

@@ -95,6 +95,20 @@ def test_percentiles(spark):
     want = {p: ordered[max(1, math.ceil(p / 100 * len(ordered))) - 1] for p in (0, 10, 50, 99, 100)}
     assert {round(r.p): r.value for r in agg.percentiles(df, "n", [(p, 1) for p in want]).collect()} == want
     assert agg.percentiles(df.where("n is null"), "n", [(50, 1)]).count() == 0
+    twice = agg.percentiles(df, "n", [(50, 1), (50, 1)]).collect()
+    assert [(r.value, r.unrankable) for r in twice] == [(want[50], 0)] * len(twice) and twice
+    doubles = spark.createDataFrame([(x,) for x in (2.0, float("nan"), -0.0, 0.0, float("inf"), float("nan"), None)], "x double").repartition(3)
+    assert [(r.value, r.unrankable) for r in agg.percentiles(doubles, "x", [(0, 1), (75, 1), (100, 1)]).orderBy("p").collect()] == [(0.0, 2), (2.0, 2), (float("inf"), 2)]
+    with pytest.raises(Refused):
+        agg.percentiles(df, "n", [(101, 1)])
+
+
+def test_histogram_limit_counts_buckets_only(spark):
+    df = spark.createDataFrame([(x,) for x in (1.0, 3.0, 5.0, float("nan"), float("-inf"), None)], "x double")
+    assert [(r.bucket, r.n, r.unbucketable) for r in agg.histogram(df, "x", 2.0, max_buckets=3).collect()] == [(0.0, 1, 2), (2.0, 1, 2), (4.0, 1, 2)]
+    with pytest.raises(Refused):
+        agg.histogram(df, "x", 2.0, max_buckets=2)
+    assert agg.histogram(df.where("false"), "x", 2.0).count() == 0
 
 
 def rank_list(spark, ids):
